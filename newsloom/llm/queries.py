@@ -1,11 +1,24 @@
 """The operators' queries over whole tables, and the SQL that gives the same rows."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import exact_dedup, simhash
+from newsloom.llm import bpe, exact_dedup, mixing, quality_classifier, simhash
 from newsloom.storage import table
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -14,7 +27,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_simhash": op9_simhash, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {
+    "op4_bpe": op4_bpe, "op7_mixing": op7_mixing, "op8_quality_classifier": op8_quality_classifier,
+    "op9_simhash": op9_simhash, "op10_exact_dedup": op10_exact_dedup,
+}
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
