@@ -3,14 +3,22 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import bpe, exact_dedup, mixing, quality_classifier, simhash
+from newsloom.llm import bpe, exact_dedup, mixing, ngram_lm, quality_classifier, simhash, substring_dedup
 from newsloom.storage import table
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -28,7 +36,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op4_bpe": op4_bpe, "op7_mixing": op7_mixing, "op8_quality_classifier": op8_quality_classifier,
+    "op3_lm_score": op3_lm_score, "op4_bpe": op4_bpe, "op6_substring_dedup": op6_substring_dedup, "op7_mixing": op7_mixing, "op8_quality_classifier": op8_quality_classifier,
     "op9_simhash": op9_simhash, "op10_exact_dedup": op10_exact_dedup,
 }
 

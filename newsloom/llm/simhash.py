@@ -120,7 +120,10 @@ def _signed(x: int) -> int:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """``(a, b)``: links that join all distinct fingerprints (column ``fp``) within three bits, a forest in each bucket."""
+    """``(a, b)``: a forest over the distinct fingerprints (column ``fp``) with the components that all links make.
+
+    Each row joins a fingerprint to the root of its tree in one bucket; it is reached over links, not always by one.
+    """
     keyed = fps.select("fp").distinct().select(
         "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(mask))) for _, mask, _ in SCHEMES])).alias("scheme", "key")
     )
