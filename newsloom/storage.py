@@ -46,7 +46,12 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and lost executors lose nothing."""
+    """Write ``df`` to the shared folder and read it back: lineage ends here and lost executors lose nothing.
+
+    Spark deletes the shuffle files of a finished job when the driver collects its garbage, so that is asked for here:
+    on a large driver it could be long until then, and the files would fill the executors' disks.
+    """
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
