@@ -1,9 +1,10 @@
 """Corpus-wide questions asked by chunks of documents.
 
 Counting every n-gram or fingerprint of a corpus as one row each moves many times the input. Here documents are dealt
-once into chunks; a chunk sends its distinct 64-bit keys, sorted and packed, in one block for each key partition; the
-partition merges the blocks of all chunks and answers each in the order of its keys. A hot key is one entry for each
-chunk, however many documents hold it, so no partition holds more entries of a key than there are chunks.
+once into chunks; a chunk sends its distinct keys, sorted and packed, in one block for each key partition; the
+partition merges the blocks of all chunks and answers each in the order of its keys. Answers go without keys: a chunk
+finds its keys anew from its documents. A hot key is one entry for each chunk, however many documents hold it, so no
+partition holds more entries of a key than there are chunks.
 
 Texts travel as compressed blocks. Every step is a group in Arrow: what a task lost is computed again.
 """
@@ -24,7 +25,8 @@ PART_SCHEMA = "p int, g int, block binary"
 REPLY_SCHEMA = "g int, p int, kind int, block binary"
 
 Columns = dict[str, np.ndarray]
-Merge = Callable[[np.ndarray, np.ndarray, Columns], Columns]
+#: By kind: the columns of the answers, and which entries they are for (None: all).
+Merge = Callable[[np.ndarray, np.ndarray, Columns], dict[int, tuple[Columns, np.ndarray | None]]]
 
 
 def squeeze(data: bytes) -> bytes:
@@ -35,20 +37,19 @@ def expand(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def pack(keys: np.ndarray, columns: Columns) -> bytes:
-    """Sorted distinct uint64 keys with columns of numbers: differences of keys, bytes of equal weight together."""
-    first = np.diff(keys, prepend=np.uint64(0))
-    parts = {"_keys": first, **columns}
+def pack(keys: np.ndarray | None, columns: Columns) -> bytes:
+    """Columns of numbers, bytes of equal weight together, with sorted keys as differences."""
+    parts = ({"_keys": np.diff(keys, prepend=np.uint64(0))} if keys is not None else {}) | columns
+    n = len(next(iter(parts.values())))
     body, head = [], []
     for name, x in parts.items():
         x = np.ascontiguousarray(x)
-        raw = x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+        body.append(x.view(np.uint8).reshape(n, x.dtype.itemsize).T.tobytes())
         head.append(f"{name}:{x.dtype.str}")
-        body.append(raw)
-    return squeeze(f"{len(keys)};{','.join(head)}\n".encode() + b"".join(body))
+    return squeeze(f"{n};{','.join(head)}\n".encode() + b"".join(body))
 
 
-def unpack(block: bytes) -> tuple[np.ndarray, Columns]:
+def unpack(block: bytes) -> tuple[np.ndarray | None, Columns]:
     data = expand(block)
     cut = data.index(b"\n")
     n, names = data[:cut].decode().split(";")
@@ -59,7 +60,12 @@ def unpack(block: bytes) -> tuple[np.ndarray, Columns]:
         raw = np.frombuffer(data, np.uint8, n * dtype.itemsize, at).reshape(dtype.itemsize, n)
         out[name] = np.ascontiguousarray(raw.T).reshape(-1).view(dtype)
         at += n * dtype.itemsize
-    return np.cumsum(out.pop("_keys"), dtype=np.uint64), out
+    return (np.cumsum(out.pop("_keys"), dtype=np.uint64) if "_keys" in out else None), out
+
+
+def short(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Keys of so many bits: the others are 0, which take no room in a block."""
+    return keys & ~np.uint64((1 << (64 - bits)) - 1)
 
 
 def width(docs: DataFrame) -> int:
@@ -156,44 +162,46 @@ def ask(dealt: DataFrame, request: Callable[[int, Iterator, dict], list[tuple[in
     return dealt.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(both, PART_SCHEMA)
 
 
-def answer(requests: DataFrame, merges: list[Merge], kind: int = 0, totals: Callable[[int, np.ndarray, np.ndarray, Columns], bytes | None] | None = None) -> DataFrame:
-    """Merge each key partition. Its number modulo the number of merges says which one, and the kind of the replies.
+def answer(requests: DataFrame, merges: list[Merge], totals: Callable[[int, np.ndarray, np.ndarray, Columns], bytes | None] | None = None) -> DataFrame:
+    """Merge each key partition; its number modulo the number of merges says by which.
 
-    ``merge(keys, inverse, columns)`` over all entries, ``inverse`` numbering the distinct keys, gives columns with an
-    answer for each entry; they go back to their chunks in order. ``totals`` may add one block for a partition, which
-    is addressed to chunk -1 and has the kind that follows all others.
+    ``merge(keys, inverse, columns)`` over all entries, ``inverse`` numbering the distinct keys, gives an answer for
+    each entry; they go back to their chunks in order. ``totals`` may add one block for a partition, which is addressed
+    to chunk -1 and has kind -1.
     """
 
     def run(table: pa.Table) -> pa.Table:
         p = table.column("p")[0].as_py()
-        own_kind = p % len(merges)
+        which = p % len(merges)
         chunk_ids = table.column("g").to_pylist()
         parts = [unpack(b) for b in table.column("block").to_pylist()]
         keys = np.concatenate([k for k, _ in parts])
         columns = {name: np.concatenate([c[name] for _, c in parts]) for name in parts[0][1]}
         distinct, inverse = np.unique(keys, return_inverse=True)
-        out = merges[own_kind](distinct, inverse, columns)
-        rows, at = [], 0
-        for g, size in zip(chunk_ids, (len(k) for k, _ in parts), strict=True):
-            own = slice(at, at + size)
-            rows.append((g, p // len(merges), kind + own_kind, pack(keys[own], {k: v[own] for k, v in out.items()})))
-            at += size
-        if totals and (block := totals(own_kind, distinct, inverse, columns)) is not None:
-            rows.append((-1, p // len(merges), kind + len(merges), block))
+        rows = []
+        for kind, (out, mask) in merges[which](distinct, inverse, columns).items():
+            at = 0
+            for g, size in zip(chunk_ids, (len(k) for k, _ in parts), strict=True):
+                own = slice(at, at + size)
+                mine = {k: v[own] if mask is None else v[own][mask[own]] for k, v in out.items()}
+                rows.append((g, p // len(merges), kind, pack(None, mine)))
+                at += size
+        if totals and (block := totals(which, distinct, inverse, columns)) is not None:
+            rows.append((-1, p // len(merges), -1, block))
         return to_table(rows, ["g", "p", "kind", "block"])
 
     return requests.groupBy("p").applyInArrow(run, REPLY_SCHEMA)
 
 
-def gathered(replies: pa.Table) -> dict[int, tuple[np.ndarray, Columns]]:
-    """A chunk's replies of each kind as sorted keys with columns."""
+def gathered(replies: pa.Table) -> dict[int, Columns]:
+    """A chunk's replies of each kind, in the order of its sorted keys."""
     found: dict[int, list] = {}
     for p, kind, block in zip(replies.column("p").to_pylist(), replies.column("kind").to_pylist(), replies.column("block").to_pylist(), strict=True):
         found.setdefault(kind, []).append((p, block))
     out = {}
     for kind, parts in found.items():
-        opened = [unpack(b) for _, b in sorted(parts, key=lambda x: x[0])]
-        out[kind] = (np.concatenate([k for k, _ in opened]), {n: np.concatenate([c[n] for _, c in opened]) for n in opened[0][1]})
+        opened = [unpack(b)[1] for _, b in sorted(parts, key=lambda x: x[0])]
+        out[kind] = {n: np.concatenate([c[n] for c in opened]) for n in opened[0]}
     return out
 
 

@@ -27,6 +27,8 @@ from newsloom.storage import materialize
 #: Keys: tokens by their hash, the end of a text and the start that precedes it by hashes of their own.
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 BUCKETS = 24
+#: Bits of the keys of pairs and tokens.
+KEY_BITS = 52
 #: Cells of a tenth of a decade between -10 and 10, and one beside them for an estimate of nothing.
 GRID, STEP = 201, 0.1
 TRAIN_SPLIT, HELD_OUT = 7, 2
@@ -74,41 +76,49 @@ class _Tokens:
         return own, context, token
 
     def pair_keys(self, context: np.ndarray, token: np.ndarray) -> np.ndarray:
-        return chunks.mix64(self.hashes[context] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[token])
+        return chunks.short(chunks.mix64(self.hashes[context] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[token]), KEY_BITS)
+
+    def token_keys(self) -> np.ndarray:
+        """Keys of the chunk's tokens by number, the end and the start being the last two."""
+        return _token_key(self.hashes)
 
 
 def _token_key(h: np.ndarray) -> np.ndarray:
-    return chunks.mix64(h)
+    return chunks.short(chunks.mix64(h), KEY_BITS)
 
 
 def _counted(keys: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Distinct keys with their counts in the two training parts; keys of held-out texts alone have 0."""
     distinct, inverse = np.unique(keys, return_inverse=True)
-    counts = {f"c{k}": np.bincount(inverse, part == k, len(distinct)) for k in (1, 2)}
-    small = lambda x: x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
-    return distinct, {k: small(v) for k, v in counts.items()}
+    return distinct, {f"c{k}": _small(np.bincount(inverse, part == k, len(distinct))) for k in (1, 2)}
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
 
 
 def _request(parts: int):
     def request(g: int, docs: Iterator, _: dict) -> list:
         tokens = _Tokens(docs)
         own, context, token = tokens.sequences()
-        part = np.array(tokens.parts, np.int64)[own]
-        pairs = chunks.part_rows(g, parts, *_counted(tokens.pair_keys(context, token), part), kind=0, kinds=2)
-        uni_keys, columns = _counted(_token_key(tokens.hashes[token]), part)
-        # The start is not a token, but as a context it is counted like one.
-        start = {f"c{k}": int((np.array(tokens.parts) == k).sum()) for k in (1, 2)}
-        key = _token_key(np.array([START]))
-        at = int(np.searchsorted(uni_keys, key)[0])
-        columns = {k: np.insert(v.astype(np.int64), at, start[k]) for k, v in columns.items()}
-        return pairs + chunks.part_rows(g, parts, np.insert(uni_keys, at, key[0]), columns, kind=1, kinds=2)
+        part = np.array(tokens.parts, np.int64)
+        pairs = chunks.part_rows(g, parts, *_counted(tokens.pair_keys(context, token), part[own]), kind=0, kinds=2)
+        # The start is not a token, but as a context it is counted, once for each text.
+        started = np.r_[token, np.full(len(part), tokens.start)]
+        counted = _counted(tokens.token_keys()[started], np.r_[part[own], part])
+        return pairs + chunks.part_rows(g, parts, *counted, kind=1, kinds=2)
 
     return request
 
 
-def _merge(distinct: np.ndarray, inverse: np.ndarray, columns: dict) -> dict:
-    out = {k: np.bincount(inverse, v, len(distinct)) for k, v in columns.items()}
-    return {k: v.astype(np.min_scalar_type(int(v.max())))[inverse] for k, v in out.items()}
+def _merge(kind: int):
+    """Counts in all training texts for every entry; without those that set the weights, for the entries they hold."""
+
+    def merge(distinct: np.ndarray, inverse: np.ndarray, columns: dict) -> dict:
+        c1, c2 = (np.bincount(inverse, columns[n], len(distinct)).astype(np.int64) for n in ("c1", "c2"))
+        return {kind: ({"c": _small(c1 + c2)[inverse]}, None), kind + 2: ({"c": _small(c1)[inverse]}, columns["c2"] > 0)}
+
+    return merge
 
 
 def _totals(kind: int, distinct: np.ndarray, inverse: np.ndarray, columns: dict) -> bytes | None:
@@ -120,16 +130,12 @@ def _totals(kind: int, distinct: np.ndarray, inverse: np.ndarray, columns: dict)
     return np.array([c1.sum(), c2.sum(), (c1 > 0).sum(), (c1 + c2 > 0).sum()], np.int64).tobytes()
 
 
-def _looked_up(tokens: _Tokens, context: np.ndarray, token: np.ndarray, replies: dict, which: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of the pair, the context and the token, added over the training parts named."""
-
-    def found(keys: np.ndarray, kind: int) -> np.ndarray:
-        known, columns = replies[kind]
-        return sum(columns[n].astype(np.int64) for n in which)[np.searchsorted(known, keys)]
-
-    of_token = found(_token_key(tokens.hashes[: tokens.end + 1]), 1) if tokens.texts else np.empty(0, np.int64)
-    of_token = np.r_[of_token, found(_token_key(np.array([START])), 1)] if tokens.texts else of_token
-    return found(tokens.pair_keys(context, token), 0), of_token[context], of_token[token]
+def _looked_up(tokens: _Tokens, context: np.ndarray, token: np.ndarray, replies: dict, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of the pair, the context and the token: of all training texts (kind 0) or without some (kind 2)."""
+    pair_keys, pair_at = np.unique(tokens.pair_keys(context, token), return_inverse=True)
+    keys, at = np.unique(tokens.token_keys(), return_inverse=True)
+    pair, of_token = replies[kind]["c"].astype(np.int64)[pair_at], replies[kind + 1]["c"].astype(np.int64)[at]
+    return pair, of_token[context], of_token[token]
 
 
 def bucket(count: np.ndarray) -> np.ndarray:
@@ -146,7 +152,7 @@ def _histogram(n: int, v: int):
         names = ["cell", "n", "s2", "s1"]
         if not len(token):
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
-        pair, seen, alone = _looked_up(tokens, context, token, replies, ("c1",))
+        pair, seen, alone = _looked_up(tokens, context, token, replies, 2)
         base = math.log10(1 / (v + 1))
         with np.errstate(divide="ignore", invalid="ignore"):
             r2 = np.where(pair > 0, np.log10(pair / np.maximum(seen, 1)) - base, np.nan)
@@ -187,7 +193,7 @@ def _score(n: int, v: int, weights: np.ndarray):
         own, context, token = tokens.sequences()
         size = len(tokens.ids)
         if size:
-            pair, seen, alone = _looked_up(tokens, context, token, replies, ("c1", "c2"))
+            pair, seen, alone = _looked_up(tokens, context, token, replies, 0)
             w = weights[bucket(seen)]
             p = w[:, 0] * pair / np.maximum(seen, 1) + w[:, 1] * alone / max(n, 1) + w[:, 2] / (v + 1)
             score = np.bincount(own, np.log10(p), size)
@@ -214,14 +220,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     parts = chunks.width(docs)
     dealt = chunks.deal(docs, id_col, text_col)
-    replies = materialize(chunks.answer(chunks.ask(dealt, _request(parts)), [_merge, _merge], totals=_totals), "lm-counts")
-    totals = np.array([np.frombuffer(r.block, np.int64) for r in replies.where("kind = 2").select("block").collect()], np.int64).reshape(-1, 4).sum(axis=0)
+    replies = materialize(chunks.answer(chunks.ask(dealt, _request(parts)), [_merge(0), _merge(1)], totals=_totals), "lm-counts")
+    totals = np.array([np.frombuffer(r.block, np.int64) for r in replies.where("kind = -1").select("block").collect()], np.int64).reshape(-1, 4).sum(axis=0)
     n1, n2, v1, v = totals.tolist()
-    own = replies.where("kind < 2")
+    tune, own = replies.where("kind IN (2, 3)"), replies.where("kind IN (0, 1)")
     # Only texts that set the weights are dealt again for the histogram.
     text_id = F.col(id_col).cast("long").cast("string").cast("binary")
     tuning = chunks.deal(docs.where(F.crc32(text_id) % TRAIN_SPLIT == TUNE), id_col, text_col)
-    cells = chunks.finish(tuning, own, _histogram(n1, v1), "cell long, n long, s2 double, s1 double")
+    cells = chunks.finish(tuning, tune, _histogram(n1, v1), "cell long, n long, s2 double, s1 double")
     rows = cells.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("s2").alias("s2"), F.sum("s1").alias("s1")).orderBy("cell").collect()
     table = np.array([tuple(r) for r in rows], float).reshape(-1, 4)
     weights = learn_weights(table[:, 0].astype(np.int64), table[:, 1], table[:, 2], table[:, 3])

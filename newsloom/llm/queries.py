@@ -3,10 +3,14 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import bpe, exact_dedup, mixing, ngram_lm, quality_classifier, simhash, substring_dedup
+from newsloom.llm import bpe, exact_dedup, mixing, ngram_lm, pii, quality_classifier, quality_rules, simhash, substring_dedup
 from newsloom.storage import table
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.score(table(spark, sf_dir, "documents"))
 
@@ -15,6 +19,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -36,7 +44,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op3_lm_score": op3_lm_score, "op4_bpe": op4_bpe, "op6_substring_dedup": op6_substring_dedup, "op7_mixing": op7_mixing, "op8_quality_classifier": op8_quality_classifier,
+    "op2_quality_rules": op2_quality_rules, "op3_lm_score": op3_lm_score, "op5_pii": op5_pii, "op4_bpe": op4_bpe, "op6_substring_dedup": op6_substring_dedup, "op7_mixing": op7_mixing, "op8_quality_classifier": op8_quality_classifier,
     "op9_simhash": op9_simhash, "op10_exact_dedup": op10_exact_dedup,
 }
 

@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame
 from newsloom.llm import chunks
 from newsloom.storage import materialize
 
-SPAN, ANCHOR = 50, 20
+SPAN, ANCHOR = 50, 16
 WINDOWS = SPAN - ANCHOR + 1
+#: Bits of the keys; 32 bits of a second hash stand beside them where a match decides.
+KEY_BITS = 48
 #: Documents are hashed together up to so many bytes; a longer one is hashed alone.
 BATCH = 1 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -89,130 +91,134 @@ class _Sampled:
     """The sampled suffixes of a batch: keys of anchors and of their extensions, with place and document."""
 
     def __init__(self, ids: list, texts: list):
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
+        self.ids, self.data = ids, np.frombuffer(b"".join(texts), np.uint8)
         self.bounds = np.cumsum([0, *map(len, texts)])
         doc = np.array([LARGEST if i is None else i for i in ids], np.int64)
         real = np.array([i is not None for i in ids])
         n = len(self.data)
-        self.at = np.empty(0, np.int64)
-        if n >= SPAN:
-            self.hash = _Hashes(self.data, 0)
-            key = chunks.mix64(self.hash.all(ANCHOR))
-            own = np.repeat(np.arange(len(ids)), np.diff(self.bounds))
-            least = _slide(key, WINDOWS, np.minimum)  # for each window by its start
-            start = np.arange(n - SPAN + 1)
-            inside = (start + SPAN <= self.bounds[own[start] + 1]) & real[own[start]]
-            reach = np.zeros(len(key) + WINDOWS - 1, np.uint64)
-            reach[WINDOWS - 1 : WINDOWS - 1 + len(least)] = np.where(inside, least, np.uint64(0))
-            hit = (_slide(reach, WINDOWS, np.maximum) == key) & (key > 0)
-            self.at = np.flatnonzero(hit)
-            self.own = own[self.at]
-            self.key = key[self.at]
-        else:
-            self.own, self.key = self.at, np.empty(0, np.uint64)
-        self.doc = doc[self.own]
-        self.low = np.maximum(self.at - (WINDOWS - 1), self.bounds[self.own])
-        self.high = np.minimum(self.at + SPAN, self.bounds[self.own + 1])
-
-    def _checked(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        second = _Hashes(self.data, 1).of(begin, end)
-        return self.hash.of(begin, end), (chunks.mix64(second) >> np.uint64(32)).astype(np.uint32)
-
-    def extensions(self) -> tuple[np.ndarray, np.ndarray]:
-        """Key and check of each whole extension; the place of the anchor in it is part of the key."""
-        if not len(self.at):
-            return self.key, np.empty(0, np.uint32)
-        first, check = self._checked(self.low, self.high)
-        shape = ((self.at - self.low) * 64 + self.high - self.at).astype(np.uint64)
-        return chunks.mix64(first + chunks.mix64(shape + np.uint64(1))), check
+        if n < SPAN:
+            self.at = self.doc = self.low = self.high = np.empty(0, np.int64)
+            self.key = self.extension = np.empty(0, np.uint64)
+            self.check = np.empty(0, np.uint32)
+            return
+        first, second = (_Hashes(self.data, which) for which in (0, 1))
+        key = chunks.mix64(first.all(ANCHOR))
+        own = np.repeat(np.arange(len(ids)), np.diff(self.bounds))
+        least = _slide(key, WINDOWS, np.minimum)  # for each window by its start
+        start = np.arange(n - SPAN + 1)
+        inside = (start + SPAN <= self.bounds[own[start] + 1]) & real[own[start]]
+        reach = np.zeros(len(key) + WINDOWS - 1, np.uint64)
+        reach[WINDOWS - 1 : WINDOWS - 1 + len(least)] = np.where(inside, least, np.uint64(0))
+        self.at = np.flatnonzero((_slide(reach, WINDOWS, np.maximum) == key) & (key > 0))
+        own = own[self.at]
+        self.doc = doc[own]
+        self.low = np.maximum(self.at - (WINDOWS - 1), self.bounds[own])
+        self.high = np.minimum(self.at + SPAN, self.bounds[own + 1])
+        # The anchor's place in its extension is part of both hashes.
+        shape = chunks.mix64(((self.at - self.low) * 64 + self.high - self.at + 1).astype(np.uint64))
+        self.key = chunks.short(key[self.at], KEY_BITS)
+        self.extension = chunks.short(chunks.mix64(first.of(self.low, self.high) + shape), KEY_BITS)
+        self.check = (chunks.mix64(second.of(self.low, self.high) + shape) >> np.uint64(32)).astype(np.uint32)
 
     def windows(self, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the suffixes chosen: start, document, key and check of every window in their extensions, each once."""
-        sizes = np.maximum(self.high[mine] - SPAN + 1 - self.low[mine], 0)
-        begin = np.repeat(self.low[mine] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum()) if len(sizes) else np.empty(0, np.int64)
+        low, sizes = self.low[mine], self.high[mine] - SPAN + 1 - self.low[mine]
+        begin = np.repeat(low - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum()) if len(sizes) else low
         begin, first = np.unique(begin, return_index=True)
         doc = np.repeat(self.doc[mine], sizes)[first]
         if not len(begin):
             return begin, doc, np.empty(0, np.uint64), np.empty(0, np.uint32)
-        key, check = self._checked(begin, begin + SPAN)
-        return begin, doc, chunks.mix64(key), check
+        key, check = (chunks.mix64(_Hashes(self.data, which).of(begin, begin + SPAN)) for which in (0, 1))
+        return begin, doc, chunks.short(key, KEY_BITS), (check >> np.uint64(32)).astype(np.uint32)
 
 
-def _earliest(key: np.ndarray, check: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, chunks.Columns]:
-    """Distinct keys with the smallest document; where hashes collide, entries of a key are apart by their check."""
-    order = np.lexsort((doc, check, key))
-    key, check, doc = key[order], check[order], doc[order]
-    new = np.r_[True, (np.diff(key) != 0) | (np.diff(check) != 0)] if len(key) else np.empty(0, bool)
-    return key[new], {"check": check[new], "doc": doc[new]}
+class _Entries:
+    """Distinct (key, check) in order, the smallest document of each, and the entry of every element."""
 
+    def __init__(self, key: np.ndarray, check: np.ndarray, doc: np.ndarray):
+        order = np.lexsort((doc, check, key))
+        k, c = key[order], check[order]
+        new = np.r_[True, (np.diff(k) != 0) | (np.diff(c) != 0)] if len(k) else np.empty(0, bool)
+        self.key, self.check, self.doc = k[new], c[new], doc[order][new]
+        self.of = np.empty(len(k), np.int64)
+        self.of[order] = np.cumsum(new) - 1
 
-def _min_doc(_: np.ndarray, inverse: np.ndarray, columns: chunks.Columns) -> chunks.Columns:
-    order = np.lexsort((columns["doc"], columns["check"], inverse))
-    new = np.r_[True, (np.diff(inverse[order]) != 0) | (np.diff(columns["check"][order]) != 0)]
-    least = columns["doc"][order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    out = np.empty(len(order), np.int64)
-    out[order] = least
-    return {"check": columns["check"], "doc": out}
+    def rows(self, g: int, parts: int, kind: int, kinds: int) -> list:
+        return chunks.part_rows(g, parts, self.key, {"check": self.check, "doc": self.doc}, kind, kinds)
 
+    def later(self, doc: np.ndarray, earlier: np.ndarray) -> np.ndarray:
+        """Which elements a smaller document has too, given the entries that another chunk has in one."""
+        return (earlier[self.of] > 0) | (doc > self.doc[self.of])
 
-def _shared(distinct: np.ndarray, inverse: np.ndarray, columns: chunks.Columns) -> chunks.Columns:
-    return {"shared": (np.bincount(inverse, 1 + columns["many"], len(distinct)) > 1).astype(np.uint8)[inverse]}
 
+def _earlier(kind: int):
+    """Whether another chunk has the same key and check in a smaller document."""
 
-def _first(reply: tuple[np.ndarray, chunks.Columns], key: np.ndarray, check: np.ndarray) -> np.ndarray:
-    """The smallest document with this key and check."""
-    known, columns = reply
-    at = np.searchsorted(known, key)
-    for _ in range(64):  # entries of one key stand together, apart by check
-        wrong = columns["check"][at] != check
-        if not wrong.any():
-            break
-        at = at + wrong
-    return columns["doc"][at]
+    def merge(_: np.ndarray, inverse: np.ndarray, columns: chunks.Columns) -> dict:
+        all_of = _Entries(inverse.astype(np.uint64), columns["check"], columns["doc"])
+        return {kind: ({"earlier": (all_of.doc[all_of.of] < columns["doc"]).astype(np.uint8)}, None)}
+
+    return merge
+
+
+def _varied(distinct: np.ndarray, inverse: np.ndarray, columns: chunks.Columns) -> dict:
+    """Whether an anchor stands in more than one extension."""
+    order = np.argsort(inverse, kind="stable")
+    begin = np.flatnonzero(np.diff(inverse[order], prepend=-1))
+    check = columns["check"][order]
+    differs = np.minimum.reduceat(check, begin) != np.maximum.reduceat(check, begin)
+    differs |= np.maximum.reduceat(columns["many"][order], begin) > 0
+    return {0: ({"varied": differs.astype(np.uint8)[inverse]}, None)}
+
+
+class _Chunk:
+    """All batches of a chunk, with their entries."""
+
+    def __init__(self, docs: Iterator):
+        self.batches = [_Sampled(ids, texts) for ids, texts in _batches(docs)]
+        self.cuts = np.cumsum([len(s.at) for s in self.batches])[:-1]
+        self.doc = self._all("doc")
+        self.anchors, self.anchor_of = np.unique(self._all("key"), return_inverse=True)
+        self.entries = _Entries(self._all("extension"), self._all("check"), self.doc)
+
+    def _all(self, name: str) -> np.ndarray:
+        return np.concatenate([getattr(s, name) for s in self.batches])
+
+    def anchor_rows(self, g: int, parts: int) -> list:
+        check = self._all("check")
+        order = np.argsort(self.anchor_of, kind="stable")
+        begin = np.flatnonzero(np.diff(self.anchor_of[order], prepend=-1))
+        low, high = (f.reduceat(check[order], begin) if len(begin) else check[:0] for f in (np.minimum, np.maximum))
+        return chunks.part_rows(g, parts, self.anchors, {"check": low, "many": (low != high).astype(np.uint8)}, 0, 2)
+
+    def judged(self, replies: dict) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """By batch: which suffixes an earlier document has with their whole extension; whose windows are to be compared."""
+        if not len(self.doc):
+            none = [np.empty(0, bool) for _ in self.batches]
+            return none, none
+        settled = self.entries.later(self.doc, replies[1]["earlier"])
+        compared = (replies[0]["varied"][self.anchor_of] > 0) & ~settled
+        return np.split(settled, self.cuts), np.split(compared, self.cuts)
+
+
+def _joined(windows: list[tuple]) -> tuple[np.ndarray, _Entries]:
+    _, doc, key, check = (np.concatenate(x) for x in zip(*windows, strict=True))
+    return doc, _Entries(key, check, doc)
 
 
 def _ask_suffixes(parts: int):
     def request(g: int, docs: Iterator, _: dict) -> list:
-        anchors, owners, keys, checks, ids = [], [], [], [], []
-        for names, texts in _batches(docs):
-            s = _Sampled(names, texts)
-            key, check = s.extensions()
-            anchors.append(s.key)
-            owners.append(s.doc)
-            keys.append(key)
-            checks.append(check)
-            ids.append(s.doc)
-        anchor, owner = np.concatenate(anchors), np.concatenate(owners)
-        order = np.lexsort((owner, anchor))
-        anchor, owner = anchor[order], owner[order]
-        new = np.flatnonzero(np.r_[True, np.diff(anchor) != 0]) if len(anchor) else np.empty(0, np.int64)
-        last = np.r_[new[1:], len(anchor)] - 1 if len(new) else new
-        many = {"many": (owner[new] != owner[last]).astype(np.uint8)}
-        rows = chunks.part_rows(g, parts, anchor[new], many, 0, 2)
-        return rows + chunks.part_rows(g, parts, *_earliest(np.concatenate(keys), np.concatenate(checks), np.concatenate(ids)), 1, 2)
+        chunk = _Chunk(docs)
+        return chunk.anchor_rows(g, parts) + chunk.entries.rows(g, parts, 1, 2)
 
     return request
 
 
-def _open(s: _Sampled, replies: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Which suffixes an earlier document has with their whole extension; which others share their anchor."""
-    if not len(s.at):
-        return np.empty(0, bool), np.empty(0, bool)
-    known, columns = replies[0]
-    shared = columns["shared"][np.searchsorted(known, s.key)] > 0
-    settled = shared & (_first(replies[1], *s.extensions()) < s.doc)
-    return settled, shared & ~settled
-
-
 def _ask_windows(parts: int):
     def request(g: int, docs: Iterator, replies: dict) -> list:
-        found = []
-        for names, texts in _batches(docs):
-            s = _Sampled(names, texts)
-            _, doc, key, check = s.windows(_open(s, replies)[1])
-            found.append((key, check, doc))
-        key, check, doc = (np.concatenate(x) for x in zip(*found, strict=True))
-        return chunks.part_rows(g, parts, *_earliest(key, check, doc))
+        chunk = _Chunk(docs)
+        _, compared = chunk.judged(replies)
+        return _joined([s.windows(c) for s, c in zip(chunk.batches, compared, strict=True)])[1].rows(g, parts, 0, 1)
 
     return request
 
@@ -223,18 +229,19 @@ NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 def _removed(with_text: bool):
     def final(g: int, docs: Iterator, replies: dict) -> pa.Table:
         rows: list[tuple] = []
-        for names, texts in _batches(docs):
-            s = _Sampled(names, texts)
-            settled, unsettled = _open(s, replies)
+        chunk = _Chunk(docs)
+        settled, compared = chunk.judged(replies)
+        windows = [s.windows(c) for s, c in zip(chunk.batches, compared, strict=True)]
+        doc, entries = _joined(windows)
+        later = entries.later(doc, replies[2]["earlier"]) if len(doc) else np.empty(0, bool)
+        found = np.split(later, np.cumsum([len(w[0]) for w in windows])[:-1])
+        for s, full, (begin, *_), hit in zip(chunk.batches, settled, windows, found, strict=True):
             change = np.zeros(len(s.data) + 1, np.int64)
-            full = settled & (s.high - s.low >= SPAN) if len(s.at) else settled
-            begin, doc, key, check = s.windows(unsettled)
-            begin = begin[_first(replies[2], key, check) < doc] if len(begin) else begin
-            for low, high in ((s.low[full], s.high[full]), (begin, begin + SPAN)):
+            for low, high in ((s.low[full], s.high[full]), (begin[hit], begin[hit] + SPAN)):
                 np.add.at(change, low, 1)
                 np.add.at(change, high, -1)
             gone = np.cumsum(change[:-1]) > 0
-            for i, low, high in zip(names, s.bounds[:-1].tolist(), s.bounds[1:].tolist(), strict=True):
+            for i, low, high in zip(s.ids, s.bounds[:-1].tolist(), s.bounds[1:].tolist(), strict=True):
                 own = gone[low:high]
                 spans = int(own[:1].sum() + (own[1:] & ~own[:-1]).sum())
                 kept = s.data[low:high][~own].tobytes()
@@ -257,7 +264,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     parts = chunks.width(docs)
     dealt = chunks.deal(docs, id_col, text_col)
-    suffixes = materialize(chunks.answer(chunks.ask(dealt, _ask_suffixes(parts)), [_shared, _min_doc]), "suffixes")
-    windows = materialize(chunks.answer(chunks.ask(dealt, _ask_windows(parts), suffixes), [_min_doc], kind=2), "windows")
+    suffixes = materialize(chunks.answer(chunks.ask(dealt, _ask_suffixes(parts)), [_varied, _earlier(1)]), "suffixes")
+    windows = materialize(chunks.answer(chunks.ask(dealt, _ask_windows(parts), suffixes), [_earlier(2)]), "windows")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return chunks.finish(dealt, suffixes.unionByName(windows), _removed(with_text), schema)
