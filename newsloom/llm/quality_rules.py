@@ -51,20 +51,21 @@ def _vote(good: Column, bad: Column) -> Column:
 
 def rules() -> dict[str, Column]:
     """Each rule's vote over the figures: 1 for good, -1 for bad, 0 to abstain; on short texts most rules abstain."""
-    c, n = F.col, F.col("n_words")
+    c, n, never = F.col, F.col("n_words"), F.lit(False)
     some = n >= 20
     mean = c("word_chars") / F.greatest(n, F.lit(1))
     spread = F.log(F.greatest(c("n_distinct"), F.lit(2)).cast("double")) / F.log(F.greatest(n, F.lit(2)).cast("double"))
     return {
         "length": _vote(n >= 50, n < 20),
         "word_length": _vote(mean.between(3, 10), (mean < 2) | (mean > 14)),
-        "symbols": _vote(c("n_symbols") * 50 <= n, c("n_symbols") * 10 > n),
-        "dup_lines": _vote(some & (c("n_dup_lines") == 0), c("n_dup_lines") * 10 > c("n_lines") * 3),
-        "repeats": _vote(some & (c("n_repeat_words") * 20 <= n), c("n_repeat_words") * 5 > n),
-        "upper": _vote(some & (c("n_upper") * 8 <= c("word_chars")), some & (c("n_upper") * 2 > c("word_chars"))),
-        "variety": _vote(some & (spread > 0.75), some & (spread < 0.6)),
         "stops": _vote(some & (c("n_stops") > 0), some & (c("n_stops") == 0)),
-        "shouts": _vote(F.lit(False), c("n_shouts") * 20 > n),
+        # What lacks one defect is not good for that: these vote against or abstain.
+        "symbols": _vote(never, c("n_symbols") * 10 > n),
+        "dup_lines": _vote(never, c("n_dup_lines") * 2 > c("n_lines")),
+        "repeats": _vote(never, c("n_repeat_words") * 4 > n),
+        "upper": _vote(never, some & (c("n_upper") * 2 > c("word_chars"))),
+        "variety": _vote(never, some & (spread < 0.6)),
+        "shouts": _vote(never, c("n_shouts") * 20 > n),
     }
 
 
