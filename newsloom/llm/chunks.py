@@ -69,10 +69,15 @@ def short(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def width(docs: DataFrame) -> int:
-    """The number of chunks, and of key partitions: twice the session's shuffle partitions."""
+    """The number of chunks: twice the session's shuffle partitions."""
     return 2 * shuffle_width(docs.sparkSession)
 
 
+def key_parts(docs: DataFrame) -> int:
+    """The number of key partitions of each kind; a chunk sends one block at most to each."""
+    return max(1, shuffle_width(docs.sparkSession) // 2)
+
+
 def chunk_of(id_col: str, text_col: str, n: int) -> F.Column:
     """The chunk of a row, by its id and the length of its text, so that rows of one id may spread."""
     return F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit("")))), F.lit(n)).cast("int")

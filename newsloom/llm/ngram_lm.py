@@ -218,7 +218,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     is a training row. Rows that repeat each count and are each returned. Without training rows every token is unknown
     and the mixture is uniform. No rows: an empty result.
     """
-    parts = chunks.width(docs)
+    parts = chunks.key_parts(docs)
     dealt = chunks.deal(docs, id_col, text_col)
     replies = materialize(chunks.answer(chunks.ask(dealt, _request(parts)), [_merge(0), _merge(1)], totals=_totals), "lm-counts")
     totals = np.array([np.frombuffer(r.block, np.int64) for r in replies.where("kind = -1").select("block").collect()], np.int64).reshape(-1, 4).sum(axis=0)

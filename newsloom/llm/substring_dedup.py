@@ -22,6 +22,7 @@ from newsloom.storage import materialize
 
 SPAN, ANCHOR = 50, 16
 WINDOWS = SPAN - ANCHOR + 1
+HALF = (SPAN - ANCHOR) // 2
 #: Bits of the keys; 32 bits of a second hash stand beside them where a match decides.
 KEY_BITS = 48
 #: Documents are hashed together up to so many bytes; a longer one is hashed alone.
@@ -88,7 +89,7 @@ def _batches(docs: Iterator) -> Iterator[tuple[list, np.ndarray]]:
 
 
 class _Sampled:
-    """The sampled suffixes of a batch: keys of anchors and of their extensions, with place and document."""
+    """The sampled suffixes of a batch: keys of anchors with a side and of their extensions, with place and document."""
 
     def __init__(self, ids: list, texts: list):
         self.ids, self.data = ids, np.frombuffer(b"".join(texts), np.uint8)
@@ -98,7 +99,7 @@ class _Sampled:
         n = len(self.data)
         if n < SPAN:
             self.at = self.doc = self.low = self.high = np.empty(0, np.int64)
-            self.key = self.extension = np.empty(0, np.uint64)
+            self.left = self.right = self.extension = np.empty(0, np.uint64)
             self.check = np.empty(0, np.uint32)
             return
         first, second = (_Hashes(self.data, which) for which in (0, 1))
@@ -116,7 +117,12 @@ class _Sampled:
         self.high = np.minimum(self.at + SPAN, self.bounds[own + 1])
         # The anchor's place in its extension is part of both hashes.
         shape = chunks.mix64(((self.at - self.low) * 64 + self.high - self.at + 1).astype(np.uint64))
-        self.key = chunks.short(key[self.at], KEY_BITS)
+        halves = ((self.at - HALF, self.at + ANCHOR, 1), (self.at, self.at + ANCHOR + HALF, 2))
+        self.left, self.right = (chunks.short(chunks.mix64(first.of(np.maximum(low, 0), np.minimum(high, n)) + np.uint64(salt)), KEY_BITS) for low, high, salt in halves)
+        # A side that the document does not have gets a key of its own, which no shared window needs.
+        none = chunks.short(chunks.mix64(shape + self.doc.astype(np.uint64)), KEY_BITS)
+        self.left = np.where(self.at - HALF >= self.low, self.left, none)
+        self.right = np.where(self.at + ANCHOR + HALF <= self.high, self.right, none)
         self.extension = chunks.short(chunks.mix64(first.of(self.low, self.high) + shape), KEY_BITS)
         self.check = (chunks.mix64(second.of(self.low, self.high) + shape) >> np.uint64(32)).astype(np.uint32)
 
@@ -162,7 +168,7 @@ def _earlier(kind: int):
 
 
 def _varied(distinct: np.ndarray, inverse: np.ndarray, columns: chunks.Columns) -> dict:
-    """Whether an anchor stands in more than one extension."""
+    """Whether an anchor with one of its sides stands in more than one extension."""
     order = np.argsort(inverse, kind="stable")
     begin = np.flatnonzero(np.diff(inverse[order], prepend=-1))
     check = columns["check"][order]
@@ -178,18 +184,18 @@ class _Chunk:
         self.batches = [_Sampled(ids, texts) for ids, texts in _batches(docs)]
         self.cuts = np.cumsum([len(s.at) for s in self.batches])[:-1]
         self.doc = self._all("doc")
-        self.anchors, self.anchor_of = np.unique(self._all("key"), return_inverse=True)
+        self.sides, self.side_of = np.unique(np.r_[self._all("left"), self._all("right")], return_inverse=True)
         self.entries = _Entries(self._all("extension"), self._all("check"), self.doc)
 
     def _all(self, name: str) -> np.ndarray:
         return np.concatenate([getattr(s, name) for s in self.batches])
 
-    def anchor_rows(self, g: int, parts: int) -> list:
-        check = self._all("check")
-        order = np.argsort(self.anchor_of, kind="stable")
-        begin = np.flatnonzero(np.diff(self.anchor_of[order], prepend=-1))
+    def side_rows(self, g: int, parts: int) -> list:
+        check = np.tile(self._all("check"), 2)
+        order = np.argsort(self.side_of, kind="stable")
+        begin = np.flatnonzero(np.diff(self.side_of[order], prepend=-1))
         low, high = (f.reduceat(check[order], begin) if len(begin) else check[:0] for f in (np.minimum, np.maximum))
-        return chunks.part_rows(g, parts, self.anchors, {"check": low, "many": (low != high).astype(np.uint8)}, 0, 2)
+        return chunks.part_rows(g, parts, self.sides, {"check": low, "many": (low != high).astype(np.uint8)}, 0, 2)
 
     def judged(self, replies: dict) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """By batch: which suffixes an earlier document has with their whole extension; whose windows are to be compared."""
@@ -197,7 +203,8 @@ class _Chunk:
             none = [np.empty(0, bool) for _ in self.batches]
             return none, none
         settled = self.entries.later(self.doc, replies[1]["earlier"])
-        compared = (replies[0]["varied"][self.anchor_of] > 0) & ~settled
+        left, right = np.split(replies[0]["varied"][self.side_of] > 0, 2)
+        compared = (left | right) & ~settled
         return np.split(settled, self.cuts), np.split(compared, self.cuts)
 
 
@@ -209,7 +216,7 @@ def _joined(windows: list[tuple]) -> tuple[np.ndarray, _Entries]:
 def _ask_suffixes(parts: int):
     def request(g: int, docs: Iterator, _: dict) -> list:
         chunk = _Chunk(docs)
-        return chunk.anchor_rows(g, parts) + chunk.entries.rows(g, parts, 1, 2)
+        return chunk.side_rows(g, parts) + chunk.entries.rows(g, parts, 1, 2)
 
     return request
 
@@ -262,7 +269,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows that repeat a doc_id take nothing from each other. A row with a null doc_id has no place in the order: it
     stays whole and takes nothing from others. No rows: an empty result.
     """
-    parts = chunks.width(docs)
+    parts = chunks.key_parts(docs)
     dealt = chunks.deal(docs, id_col, text_col)
     suffixes = materialize(chunks.answer(chunks.ask(dealt, _ask_suffixes(parts)), [_varied, _earlier(1)]), "suffixes")
     windows = materialize(chunks.answer(chunks.ask(dealt, _ask_windows(parts), suffixes), [_earlier(2)]), "windows")
