@@ -3,10 +3,14 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import bpe, exact_dedup, mixing, ngram_lm, pii, quality_classifier, quality_rules, simhash, substring_dedup
+from newsloom.llm import bpe, exact_dedup, mixing, ngram_lm, pii, quality_classifier, quality_rules, sentence_dedup, simhash, substring_dedup
 from newsloom.storage import table
 
 
+def op1_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_dedup.remove_repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op2_quality_rules": op2_quality_rules, "op3_lm_score": op3_lm_score, "op5_pii": op5_pii, "op4_bpe": op4_bpe, "op6_substring_dedup": op6_substring_dedup, "op7_mixing": op7_mixing, "op8_quality_classifier": op8_quality_classifier,
+    "op1_sentence_dedup": op1_sentence_dedup, "op2_quality_rules": op2_quality_rules, "op3_lm_score": op3_lm_score, "op5_pii": op5_pii, "op4_bpe": op4_bpe, "op6_substring_dedup": op6_substring_dedup, "op7_mixing": op7_mixing, "op8_quality_classifier": op8_quality_classifier,
     "op9_simhash": op9_simhash, "op10_exact_dedup": op10_exact_dedup,
 }
 
