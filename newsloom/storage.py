@@ -52,6 +52,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     on a large driver it could be long until then, and the files would fill the executors' disks.
     """
     path = fresh_path(df.sparkSession, tag)
+    jvm = df.sparkSession.sparkContext._jvm
+    jvm.System.gc()  # what the caller let go of since the last result
     df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
