@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PASSAGE_WORDS = 64
+#: So many passages get their features at once, which bounds the arrays that a very long text needs.
+BLOCK_PASSAGES = 512
 #: Byte classes: each ASCII mark is its own, then lower case, upper case, digits, spaces, controls, bytes above ASCII.
 _MARKS = [b for b in range(0x21, 0x7F) if not chr(b).isalnum()]
 CLASSES = len(_MARKS) + 6
@@ -41,6 +43,12 @@ def passages(text: str | None) -> np.ndarray:
     words = (text or "").encode().split()
     if not words:
         return np.zeros((1, N_FEATURES), np.float32)
+    block = BLOCK_PASSAGES * PASSAGE_WORDS
+    return np.concatenate([_features(words[at : at + block]) for at in range(0, len(words), block)])
+
+
+def _features(words: list[bytes]) -> np.ndarray:
+    """Features of the passages of some words."""
     starts = range(0, len(words), PASSAGE_WORDS)
     n = len(starts)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -152,6 +160,12 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_chars: i
     return GatedAttention().fit(bags, np.array([r.y for r in rows[: 2 * max_docs]], float))
 
 
+def _scores(net: GatedAttention, texts: pa.Array) -> np.ndarray:
+    """The score of each text, some texts at a time."""
+    parts = [net.score([passages(t.as_py()) for t in texts.slice(at, 64)]) for at in range(0, len(texts), 64)]
+    return np.concatenate(parts) if parts else np.empty(0)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: GatedAttention | None = None) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row, from whole texts.
 
@@ -162,27 +176,21 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores: list[float] = []
-            bags: list[np.ndarray] = []
-            for at, text in enumerate(batch.column(1), 1):
-                bags.append(passages(text.as_py()))
-                if len(bags) == 64 or at == batch.num_rows:
-                    scores += net.score(bags).tolist()
-                    bags = []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(net, batch.column(1)), pa.float64())], ["doc_id", "score"])
 
     scored = _text_rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with a score of at least one half, with their columns; decided in the scan, without a shuffle."""
+    """The documents with a score of at least one half, with their columns; decided in the scan, without a shuffle.
+
+    Only texts go to the Python workers and only verdicts come back.
+    """
     net = train(docs, labels, text_col=text_col)
-    schema, at = docs.schema, docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [bool(net.score([passages(t.as_py())])[0] >= 0.5) for t in batch.column(at)]
-            yield batch.filter(pa.array(good, pa.bool_()))
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array(_scores(net, texts) >= 0.5, pa.bool_())
 
-    return docs.mapInArrow(run, schema)
+    return docs.where(good(F.col(text_col).cast("string")))
