@@ -54,3 +54,77 @@ def title_of(text: Column) -> Column:
 def domain(url: Column) -> Column:
     """The host with its port, in lower case."""
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+
+
+#: The meta tags that name a page's picture, first match in this order.
+PICTURE_TAGS = (
+    r"""<meta[^>]+property=["']og:image["'][^>]+content=["']([^"']+)["']""",
+    r"""<meta[^>]+content=["']([^"']+)["'][^>]+property=["']og:image["']""",
+    r"""<meta[^>]+name=["']twitter:image["'][^>]+content=["']([^"']+)["']""",
+    r"""<meta[^>]+content=["']([^"']+)["'][^>]+name=["']twitter:image["']""",
+)
+#: Hosts that hold one of these are not ingested.
+BLOCKED = ("msn.com", "msn.co.uk", "msn.es", "msn.fr", "msn.it", "msn.de")
+MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+
+
+def picture(html: Column) -> Column:
+    """The picture that a page's meta tags name, or null."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(html, f"(?i){p}", 1), F.lit("")) for p in PICTURE_TAGS])
+
+
+def mail_time(raw: Column) -> Column:
+    """An RFC 2822 date as a timestamp; null for other texts. The weekday is not checked."""
+    rest = F.regexp_replace(F.trim(raw), r"^[A-Za-z]{3},\s*", "")
+    return F.coalesce(*[F.try_to_timestamp(rest, F.lit(f"d MMM yyyy HH:mm:ss {zone}")) for zone in ("xx", "z")])
+
+
+def iso_time(raw: Column) -> Column:
+    """An ISO 8601 date and time as a timestamp, in UTC where it names no zone; null for other texts."""
+    shaped = raw.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?)?$")
+    zoned = F.when(raw.rlike(r":\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"), raw).when(F.length(raw) == 10, F.concat(raw, F.lit("T00:00:00Z"))).otherwise(F.concat(raw, F.lit("Z")))
+    return F.when(shaped, F.try_to_timestamp(zoned))
+
+
+def own_day(raw: Column) -> Column:
+    """``yyyy-mm-dd`` as the date's own offset has it; null where there is no date in front."""
+    month = F.regexp_extract(raw, r"^(?:[A-Za-z]{3},\s*)?\d{1,2} ([A-Z][a-z]{2}) \d{4}", 1)
+    mail = F.concat_ws(
+        "-", F.regexp_extract(raw, r" (\d{4}) ", 1), F.lpad(((F.position(month, F.lit(MONTHS)) + 2) / 3).cast("int").cast("string"), 2, "0"),
+        F.lpad(F.regexp_extract(raw, r"^(?:[A-Za-z]{3},\s*)?(\d{1,2}) ", 1), 2, "0"),
+    )
+    return F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(raw, 1, 10)).when(month != "", mail)
+
+
+def escape_html(s: Column) -> Column:
+    """The text with ``& < > "`` as entities."""
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        s = F.replace(s, F.lit(mark), F.lit(name))
+    return s
+
+
+def author(metadata: Column) -> Column:
+    """What follows the last bar, or nothing where there is no bar."""
+    return F.when(metadata.contains("|"), F.trim(F.substring_index(metadata, "|", -1))).otherwise("")
+
+
+def video_embed(url: Column) -> Column:
+    """The embedding URL of a known video host, or null."""
+    yt = F.regexp_extract(url, r"(?:youtube\.com/watch\?v=|youtu\.be/)([\w-]+)", 1)
+    ru = F.regexp_extract(url, r"rumble\.com/(?:embed/)?(v[\w-]+)", 1)
+    return F.when(yt != "", F.concat(F.lit("https://www.youtube.com/embed/"), yt)).when(ru != "", F.concat(F.lit("https://rumble.com/embed/"), ru))
+
+
+def visible_text(html: Column) -> Column:
+    """The page without scripts, styles and tags, spaces collapsed."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]*>", " "), r"[ \t\r\n]+", " "))
+
+
+def links(html: Column, url: Column) -> Column:
+    """The page's distinct links to its own host, sorted, without fragments; relative ones are resolved."""
+    origin = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.concat(origin, F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*((?:/[^/?#]*)*)/", 1), F.lit("/"))
+    found = F.regexp_extract_all(html, F.lit(r"""href=["']([^"'#]+)"""), F.lit(1))
+    full = F.transform(found, lambda x: F.when(x.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), x).when(x.startswith("/"), F.concat(origin, x)).otherwise(F.concat(folder, x)))
+    return F.array_sort(F.array_distinct(F.filter(full, lambda x: x.rlike("^https?://") & (domain(x) == domain(url)))))

@@ -8,6 +8,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsloom.plans import entries
 from newsloom.plans.views import oracle, views
 
 ASOF, ASOF_SEC = "2024-01-31 00:00:00", 1706659200
@@ -15,7 +16,7 @@ TRUSTED = "SELECT m.cluster_id, round(avg(coalesce(t.trust, 0.5)), 6) AS trust F
 DAYS = f"CASE WHEN latest IS NULL THEN 9999 ELSE greatest(0, CAST(floor(({ASOF_SEC} - last_sec) / 86400.0) AS INT)) END"
 RANKED = f"SELECT n.cluster_id, n.n_sources, n.latest, t.trust, {DAYS} AS days FROM narr n JOIN ( {TRUSTED} ) t ON n.cluster_id = t.cluster_id JOIN (SELECT cluster_id, max(event_sec) AS last_sec FROM member GROUP BY cluster_id) s ON n.cluster_id = s.cluster_id"
 REMAP = "SELECT p_partkey AS old_id, p_partkey - p_partkey % 10 AS new_id FROM part "
-EDGE = "SELECT c_custkey AS a, c_nationkey + 1000000 AS b FROM customer WHERE c_custkey <= 50"
+EDGE = "SELECT c_custkey AS a, c_nationkey + 1000000 AS b FROM customer "
 AGREE = "SELECT a.source_id AS s1, b.source_id AS s2, count(*) AS shared FROM (SELECT DISTINCT cluster_id, source_id FROM member ) a JOIN (SELECT DISTINCT cluster_id, source_id FROM member ) b ON a.cluster_id = b.cluster_id AND a.source_id <> b.source_id GROUP BY a.source_id, b.source_id"
 SWEEP = "SELECT th, count(CASE WHEN cos >= th AND label_a = label_b THEN 1 END) AS tp, count(CASE WHEN cos >= th AND label_a <> label_b THEN 1 END) AS fp, count(CASE WHEN cos < th AND label_a = label_b THEN 1 END) AS fn FROM sim CROSS JOIN (SELECT CAST(0.1 AS DOUBLE) AS th UNION ALL SELECT CAST(0.2 AS DOUBLE) UNION ALL SELECT CAST(0.3 AS DOUBLE)) x GROUP BY th"
 BM25 = "SELECT k.article_id, round(sum(-idf * k.tf * 2.2 / (k.tf + 1.2 * (0.25 + 0.75 * l.len / s.avgdl))), 6) AS score FROM token k JOIN (SELECT term, CASE WHEN i > 0 THEN i ELSE 1e-6 END AS idf FROM (SELECT term, ln(((SELECT count(*) FROM article ) - count(*) + 0.5) / (count(*) + 0.5)) AS i FROM token WHERE term IN ('the', 'thing', 'license', 'une') GROUP BY term) z) d ON k.term = d.term JOIN (SELECT article_id, CAST(sum(tf) AS DOUBLE) AS len FROM token GROUP BY article_id) l ON k.article_id = l.article_id CROSS JOIN (SELECT sum(tf) / CAST((SELECT count(*) FROM article ) AS DOUBLE) AS avgdl FROM token ) s GROUP BY k.article_id"
@@ -56,7 +57,7 @@ SQL = {
     "narrative_new_count": "SELECT cluster_id, count(CASE WHEN event_ts >= '2024-01-30 00:00:00' THEN 1 END) AS new_article_count FROM member GROUP BY cluster_id",
     "narrative_entities": "SELECT cluster_id, norm FROM (SELECT cluster_id, norm, row_number() OVER (PARTITION BY cluster_id ORDER BY norm) AS k FROM (SELECT DISTINCT m.cluster_id, r.norm FROM member m JOIN role r ON m.article_id = r.article_id WHERE length(r.norm) >= 3) x) y WHERE k <= 12",
     "narrative_page": "SELECT m.article_id, m.source_id, m.rn FROM member m JOIN (SELECT cluster_id FROM narr ORDER BY n DESC, cluster_id LIMIT 1) b ON m.cluster_id = b.cluster_id",
-    "article_related": "SELECT a.article_id, b.article_id AS related_id FROM member a JOIN member b ON a.cluster_id = b.cluster_id AND a.article_id <> b.article_id",
+    "article_related": "SELECT a.article_id, b.article_id AS related_id FROM member a JOIN member b ON a.cluster_id = b.cluster_id AND a.article_id <> b.article_id WHERE a.article_id = 7",
     "narrative_source_counts": "SELECT cluster_id, source_id, count(*) AS n FROM member GROUP BY cluster_id, source_id",
     "narrative_roles": "SELECT DISTINCT m.cluster_id, r.role_id FROM member m JOIN role r ON m.article_id = r.article_id",
     "role_story_link": "SELECT d.role_id, m.cluster_id FROM (SELECT role_id, min(article_id) AS article_id FROM role GROUP BY role_id) d JOIN member m ON d.article_id = m.article_id",
@@ -86,7 +87,7 @@ SQL = {
     "fts_range": "SELECT article_id, event_ts FROM article WHERE event_ts >= '2024-01-24' ",
     "fts_search": f"SELECT article_id, score FROM ( {BM25} ) r ORDER BY score, article_id LIMIT 20",
     # Vectors and thresholds
-    "cosine": "SELECT a, b, cos FROM sim WHERE b < 50",
+    "cosine": "SELECT a, b, cos FROM sim ",
     "boundary_stats": "SELECT label_a = label_b AS verdict, count(*) AS n, round(avg(cos), 5) AS mean, round(median(cos), 5) AS median, round(stddev_samp(cos), 5) AS stdev, min(cos) AS low, max(cos) AS high FROM sim GROUP BY label_a = label_b",
     "boundary_source_pairs": "SELECT least(label_a, label_b) AS one, greatest(label_a, label_b) AS two, count(*) AS n FROM sim GROUP BY least(label_a, label_b), greatest(label_a, label_b)",
     "boundary_origins": "SELECT label_a AS origin, count(*) AS n FROM sim GROUP BY label_a",
@@ -97,12 +98,14 @@ SQL = {
     "merge_bridge": "SELECT DISTINCT article_id, substring(role_id, 1, 2) AS role_id FROM role ",
     "merge_relationships": f"SELECT least(x.new_id, y.new_id) AS a, greatest(x.new_id, y.new_id) AS b, CAST(count(*) AS BIGINT) AS weight FROM lineitem l JOIN lineitem k ON l.l_orderkey = k.l_orderkey AND l.l_partkey < k.l_partkey JOIN ( {REMAP} ) x ON l.l_partkey = x.old_id JOIN ( {REMAP} ) y ON k.l_partkey = y.old_id WHERE x.new_id <> y.new_id GROUP BY least(x.new_id, y.new_id), greatest(x.new_id, y.new_id)",
     "merge_associations": f"SELECT DISTINCT e.a - e.a % 5 AS a, e.b FROM ( {EDGE} ) e",
-    "assoc_expand": f"SELECT DISTINCT x.a AS id, y.a AS reached FROM ( {EDGE} ) x JOIN ( {EDGE} ) y ON x.b = y.b",
+    "assoc_expand": f"SELECT DISTINCT y.a AS reached FROM ( {EDGE} ) x JOIN ( {EDGE} ) y ON x.b = y.b WHERE x.a = 1 UNION SELECT b AS reached FROM ( {EDGE} ) z WHERE z.a = 1",
     "assoc_groups": f"SELECT min_a AS canonical, a AS id FROM (SELECT a, min(a) OVER (PARTITION BY b) AS min_a FROM ( {EDGE} ) e) g",
     # Sinks, sets, graph export
     "upsert_merge": "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 2 = 1 UNION ALL SELECT c_custkey, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 2 = 0",
     "url_dedup": "SELECT p.page_id, p.url FROM pages p LEFT JOIN (SELECT url AS seen FROM pages WHERE page_id % 3 = 0) s ON p.url = s.seen WHERE s.seen IS NULL",
     "search_results": "SELECT page_id, url FROM (SELECT page_id, url, row_number() OVER (PARTITION BY url ORDER BY page_id) AS k FROM pages WHERE url LIKE 'http%') x WHERE k = 1",
+    "feed_overlay": "SELECT coalesce(r.source_id, l.source_id) AS source_id, coalesce(r.feed, l.feed) AS feed FROM (SELECT 'reuters' AS source_id, 'http://a/1' AS feed UNION ALL SELECT 'npr', 'http://a/2') l FULL JOIN (SELECT 'npr' AS source_id, 'http://b/2' AS feed UNION ALL SELECT 'blog', 'http://b/3') r ON l.source_id = r.source_id",
+    "merge_dedup_obs": "SELECT o.id, coalesce(x.keep, o.a) AS a, coalesce(y.keep, o.b) AS b FROM (SELECT 1 AS id, 'k' AS a, 'r1' AS b UNION ALL SELECT 2, 'r2', 'z' UNION ALL SELECT 3, 'y', 'z') o LEFT JOIN (SELECT 'r1' AS old, 'k' AS keep UNION ALL SELECT 'r2', 'k') x ON o.a = x.old LEFT JOIN (SELECT 'r1' AS old, 'k' AS keep UNION ALL SELECT 'r2', 'k') y ON o.b = y.old",
     "seed_union": "SELECT url FROM pages UNION ALL SELECT 'http://example.com/' AS url",
     "graph_nodes": "SELECT concat('a', CAST(article_id AS STRING)) AS id, 'article' AS kind FROM article UNION ALL SELECT DISTINCT role_id AS id, 'role' AS kind FROM role UNION ALL SELECT DISTINCT source_id AS id, 'source' AS kind FROM article ",
     "graph_edges": "SELECT concat('a', CAST(article_id AS STRING)) AS src, role_id AS dst, 'child' AS kind FROM role UNION ALL SELECT concat('a', CAST(article_id AS STRING)) AS src, source_id AS dst, 'source' AS kind FROM article ",
@@ -115,5 +118,5 @@ def run(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(sql)
 
 
-QUERIES = {name: partial(run, sql) for name, sql in SQL.items()}
-ORACLE_SQL = {name: oracle(sql) for name, sql in SQL.items()}
+QUERIES = {name: partial(run, sql) for name, sql in SQL.items()} | entries.QUERIES
+ORACLE_SQL = {name: oracle(sql) for name, sql in (SQL | entries.OVER_VIEWS).items()} | entries.PLAIN

@@ -4,10 +4,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
-from newsloom.operators import lineage
+from newsloom.operators import boundary, lineage
 from newsloom.storage import table
 
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels")
+#: Pairs of vectors are reported on when their events are at most so far apart.
+SIM_HOURS = 2
 
 
 def _trust(arts: DataFrame) -> DataFrame:
@@ -20,11 +22,8 @@ def _token(arts: DataFrame) -> DataFrame:
     return arts.select("article_id", F.explode(words).alias("term")).groupBy("article_id", "term").agg(F.count("*").alias("tf"))
 
 
-def _sim(emb: DataFrame) -> DataFrame:
-    a = emb.where("vec_id < 200").select(F.col("vec_id").alias("a"), F.col("label").alias("label_a"), F.col("embedding").alias("x"))
-    b = a.select(F.col("a").alias("b"), F.col("label_a").alias("label_b"), F.col("x").alias("y"))
-    # The sample of labelled pairs is 200 vectors whatever the table; all against all is what the report is about.
-    return a.join(F.broadcast(b), F.expr("a < b")).select("a", "b", "label_a", "label_b", F.round(T.cosine(F.col("x"), F.col("y")), 6).alias("cos"))
+def _sim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boundary.near_in_time(boundary.dated(table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "events")), SIM_HOURS)
 
 
 def views(spark: SparkSession, sf_dir: str, sql: str) -> None:
@@ -38,7 +37,7 @@ def views(spark: SparkSession, sf_dir: str, sql: str) -> None:
         "narr": lambda: lineage.narratives(lineage.members(spark, sf_dir)),
         "trust": lambda: _trust(arts),
         "token": lambda: _token(arts),
-        "sim": lambda: _sim(table(spark, sf_dir, "embeddings")),
+        "sim": lambda: _sim(spark, sf_dir),
         **{name: (lambda name=name: table(spark, sf_dir, name)) for name in RAW},
     }
     for name, make in build.items():
@@ -64,8 +63,9 @@ _CTE = {
         min_by(source_id, rn) AS first_source, max_by(article_id, rn) AS last_id FROM member GROUP BY cluster_id)"""),
     "trust": (("article",), "SELECT DISTINCT source_id, CAST(0.5 AS DOUBLE) + CAST(0.02 AS DOUBLE) * (CAST(regexp_extract(source_id, '([0-9]+)$', 1) AS INT) % 20) AS trust FROM article"),
     "token": (("article",), r"SELECT article_id, term, count(*) AS tf FROM (SELECT article_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM article) GROUP BY 1, 2"),
-    "sim": ((), """SELECT x.vec_id AS a, y.vec_id AS b, x.label AS label_a, y.label AS label_b, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6) AS cos
-        FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id AND y.vec_id < 200"""),
+    "dated": ((), "SELECT v.vec_id AS id, v.label, CAST(v.embedding AS DOUBLE[]) AS x, CAST(floor(epoch(e.ts)) AS BIGINT) AS sec FROM embeddings v JOIN events e ON v.vec_id = e.event_id"),
+    "sim": (("dated",), """SELECT p.id AS a, q.id AS b, p.label AS label_a, q.label AS label_b, round(list_cosine_similarity(p.x, q.x), 6) AS cos
+        FROM dated p JOIN dated q ON p.id < q.id AND abs(p.sec - q.sec) <= 7200"""),
 }
 
 
@@ -84,4 +84,5 @@ def oracle(sql: str) -> str:
         if f" {name} " in padded:
             add(name)
     ctes = ", ".join(f"{n} AS ({_CTE[n][1]})" for n in need)
-    return (f"WITH RECURSIVE {ctes} " if need else "") + sql
+    rest = sql.removeprefix("WITH RECURSIVE ")
+    return (f"WITH RECURSIVE {ctes}{' ' if rest == sql else ', '}{rest}") if need else sql
