@@ -57,7 +57,7 @@ SQL = {
     "narrative_new_count": "SELECT cluster_id, count(CASE WHEN event_ts >= '2024-01-30 00:00:00' THEN 1 END) AS new_article_count FROM member GROUP BY cluster_id",
     "narrative_entities": "SELECT cluster_id, norm FROM (SELECT cluster_id, norm, row_number() OVER (PARTITION BY cluster_id ORDER BY norm) AS k FROM (SELECT DISTINCT m.cluster_id, r.norm FROM member m JOIN role r ON m.article_id = r.article_id WHERE length(r.norm) >= 3) x) y WHERE k <= 12",
     "narrative_page": "SELECT m.article_id, m.source_id, m.rn FROM member m JOIN (SELECT cluster_id FROM narr ORDER BY n DESC, cluster_id LIMIT 1) b ON m.cluster_id = b.cluster_id",
-    "article_related": "SELECT a.article_id, b.article_id AS related_id FROM member a JOIN member b ON a.cluster_id = b.cluster_id AND a.article_id <> b.article_id WHERE a.article_id = 7",
+    "article_related": "SELECT a.article_id, b.article_id AS related_id FROM member a JOIN member b ON a.cluster_id = b.cluster_id AND a.article_id <> b.article_id WHERE a.article_id = (SELECT first_id FROM narr ORDER BY n DESC, cluster_id LIMIT 1)",
     "narrative_source_counts": "SELECT cluster_id, source_id, count(*) AS n FROM member GROUP BY cluster_id, source_id",
     "narrative_roles": "SELECT DISTINCT m.cluster_id, r.role_id FROM member m JOIN role r ON m.article_id = r.article_id",
     "role_story_link": "SELECT d.role_id, m.cluster_id FROM (SELECT role_id, min(article_id) AS article_id FROM role GROUP BY role_id) d JOIN member m ON d.article_id = m.article_id",

@@ -217,11 +217,11 @@ def _values(*out: str | None) -> str:
     return f"SELECT CAST(k AS BIGINT) AS k, CAST(value AS VARCHAR) AS value FROM (VALUES {rows}) t(k, value)"
 
 
-_NEAR = "near AS (SELECT p.id AS a, q.id AS b, p.label AS la, q.label AS lb, abs(p.sec - q.sec) AS apart, round(list_cosine_similarity(p.x, q.x), 6) AS cos FROM dated p JOIN dated q ON p.id < q.id AND abs(p.sec - q.sec) <= 172800 )"
+_NEAR = "near AS (SELECT p.id AS a, q.id AS b, p.label AS la, q.label AS lb, abs(p.sec - q.sec) AS apart, round(list_dot_product(p.x, q.x) / (sqrt(list_dot_product(p.x, p.x)) * sqrt(list_dot_product(q.x, q.x)) + 1e-10), 6) AS cos FROM dated p JOIN dated q ON p.id < q.id AND abs(p.sec - q.sec) <= 172800 )"
 _TEXT = r"length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')))"
 _HOST = "lower(regexp_extract({}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
-_SHIFT = "SELECT n.cluster_id, n.first_id, n.last_id, round(list_cosine_similarity(CAST(f.embedding AS DOUBLE[]), CAST(l.embedding AS DOUBLE[])), 6) AS cos FROM narr n JOIN embeddings f ON f.vec_id = n.first_id % (SELECT count(*) FROM embeddings) JOIN embeddings l ON l.vec_id = n.last_id % (SELECT count(*) FROM embeddings) WHERE n.n >= 2"
-_KNN = "SELECT e.vec_id, e.label, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cos FROM embeddings e JOIN embeddings q ON q.vec_id = 0 ORDER BY 3 DESC, 1 LIMIT 8"
+_SHIFT = "SELECT n.cluster_id, n.first_id, n.last_id, round(list_dot_product(CAST(f.embedding AS DOUBLE[]), CAST(l.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(f.embedding AS DOUBLE[]), CAST(f.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(l.embedding AS DOUBLE[]), CAST(l.embedding AS DOUBLE[]))) + 1e-10), 6) AS cos FROM narr n JOIN embeddings f ON f.vec_id = n.first_id % (SELECT count(*) FROM embeddings) JOIN embeddings l ON l.vec_id = n.last_id % (SELECT count(*) FROM embeddings) WHERE n.n >= 2"
+_KNN = "SELECT e.vec_id, e.label, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) + 1e-10), 6) AS cos FROM embeddings e JOIN embeddings q ON q.vec_id = 0 ORDER BY 3 DESC, 1 LIMIT 8"
 _PAIRED = "SELECT x.cluster_id AS x, y.cluster_id AS y FROM sim s JOIN member x ON x.article_id = s.a JOIN member y ON y.article_id = s.b"
 
 

@@ -64,7 +64,7 @@ _CTE = {
     "trust": (("article",), "SELECT DISTINCT source_id, CAST(0.5 AS DOUBLE) + CAST(0.02 AS DOUBLE) * (CAST(regexp_extract(source_id, '([0-9]+)$', 1) AS INT) % 20) AS trust FROM article"),
     "token": (("article",), r"SELECT article_id, term, count(*) AS tf FROM (SELECT article_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM article) GROUP BY 1, 2"),
     "dated": ((), "SELECT v.vec_id AS id, v.label, CAST(v.embedding AS DOUBLE[]) AS x, CAST(floor(epoch(e.ts)) AS BIGINT) AS sec FROM embeddings v JOIN events e ON v.vec_id = e.event_id"),
-    "sim": (("dated",), """SELECT p.id AS a, q.id AS b, p.label AS label_a, q.label AS label_b, round(list_cosine_similarity(p.x, q.x), 6) AS cos
+    "sim": (("dated",), """SELECT p.id AS a, q.id AS b, p.label AS label_a, q.label AS label_b, round(list_dot_product(p.x, q.x) / (sqrt(list_dot_product(p.x, p.x)) * sqrt(list_dot_product(q.x, q.x)) + 1e-10), 6) AS cos
         FROM dated p JOIN dated q ON p.id < q.id AND abs(p.sec - q.sec) <= 7200"""),
 }
 
