@@ -8,7 +8,7 @@ from newsloom.storage import table
 
 
 def op1_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_dedup.remove_repeated_spans(table(spark, sf_dir, "documents"))
+    return sentence_dedup.remove_repeated_spans(table(spark, sf_dir, "documents"), min_words=sentence_dedup.WORDS)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
