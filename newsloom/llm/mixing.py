@@ -1,9 +1,10 @@
 """Mixing sources to target weights: iterative proportional fitting, then sampling by calibrated probabilities.
 
 Documents are counted into cells of source, language and topic, weighed by tokens. Raking multiplies the cells'
-weights by target over actual share of each marginal in turn until all hold. A cell's weight over its tokens, scaled
-so that the largest is 1, is the probability with which its documents are drawn, so the sample meets the targets in
-expectation and needs no repeats.
+weights by target over actual share of each marginal in turn until all hold. A cell's weight over its tokens, times
+one scale for all and 1 at most, is the probability with which its documents are drawn. A rare cell is drawn whole
+where its target is more than it has: the scale is the largest with which the sample lacks, for that, at most ``SHORT``
+of the tokens its targets ask for. So cells of few tokens, however rare, do not decide how much is drawn of the others.
 
 Only cells are iterated on: they are as many as sources times a few, and a hot source is a few cells. Marginals are
 partial aggregations and the joins back are equi-joins that Spark broadcasts when their measured size allows.
@@ -18,6 +19,10 @@ from newsloom.storage import materialize
 DIMS = ("source", "lang", "topic")
 #: Exponent on a marginal's shares that gives its default target: 1 leaves it, 0 makes all values equal.
 TEMPERATURE = 0.9
+#: Share of a sample's target tokens that cells drawn whole may lack; 0 lets the rarest cell set the scale.
+SHORT = 0.01
+#: The scale is searched on a grid of so many points, which is narrowed so many times.
+GRID, NARROWED = 32, 4
 SEED = 20240101
 
 
@@ -73,14 +78,30 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float] | None] | None =
     return now
 
 
+def _scale(raked: DataFrame, short: float) -> float:
+    """The largest scale with which cells drawn whole lack at most the share ``short``; each step is one aggregation."""
+    most, weight, tokens = raked.where("g > 0").agg(F.max("g"), F.sum("weight"), F.sum("tokens")).first()
+    if not most:
+        return 1.0
+    low = 1 / most
+    high = max(low, tokens / (weight * (1 - short)))  # all cells drawn whole lack the share
+    for _ in range(NARROWED):
+        grid = [low * (high / low) ** (k / GRID) for k in range(GRID + 1)]
+        lacks = raked.agg(*[F.sum(F.greatest(F.lit(c) * F.col("g") - 1, F.lit(0.0)) * F.col("tokens")).alias(f"s{k}") for k, c in enumerate(grid)]).first()
+        within = [k for k, c in enumerate(grid) if lacks[k] <= short * c * weight]
+        at = max(within, default=0)
+        low, high = grid[at], grid[min(at + 1, GRID)]
+    return low
+
+
 def _calibrated(docs: DataFrame, text_col: str, targets: dict | None, temperature: float) -> DataFrame:
     """``(source, lang, topic, weight, probability)`` of every cell."""
     dims = _dims(docs, text_col)
     rows = docs.select(*[c.alias(d) for d, c in dims.items()], F.regexp_count(whole(text_col), F.lit(WORD)).alias("n"))
     cells = materialize(rows.groupBy(*DIMS).agg(F.sum("n").alias("tokens")), "cells")
     raked = rake(cells, targets, temperature).withColumn("g", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0)))
-    most = raked.agg(F.max("g")).first()[0] or 1.0
-    return materialize(raked.select(*DIMS, F.col("g").alias("weight"), (F.col("g") / F.lit(float(most))).alias("probability")), "calibrated")
+    drawn = F.least(F.lit(1.0), F.col("g") * F.lit(_scale(raked, SHORT)))
+    return materialize(raked.select(*DIMS, F.col("g").alias("weight"), drawn.alias("probability")), "calibrated")
 
 
 def uniform(id_col: str = "doc_id", seed: int = SEED) -> Column:

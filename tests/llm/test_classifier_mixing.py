@@ -88,3 +88,17 @@ def test_mixing_edges(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
     assert mixing.draw(docs).columns == docs.columns
     assert mixing.draw(docs.withColumn("topic", F.lit("t"))).count() <= 4
+
+
+def test_one_odd_row_does_not_set_the_scale(spark):
+    docs = table(spark, SMALL, "documents").select("doc_id", "text", "lang", "source")
+    odd = spark.createDataFrame([(-1, "three odd words", None, None), (-2, "one", "xx", "odd")], docs.schema)
+    for target in (None, {"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2, "xx": 1e-5}}):
+        plain, more = mixing.mix(docs, target).toPandas(), mixing.mix(docs.unionByName(odd), target).toPandas()
+        assert more.probability.mean() == pytest.approx(plain.probability.mean(), abs=0.01)
+        for rows in (plain, more):
+            want, got = (rows.n_tokens * rows.weight), (rows.n_tokens * rows.probability)
+            scale = (rows.probability / rows.weight).max()
+            assert (got <= scale * want * (1 + 1e-9)).all()
+            assert 1 - got.sum() / (scale * want).sum() == pytest.approx(mixing.SHORT, abs=1e-4)
+    assert mixing.mix(docs.unionByName(odd)).agg(F.avg("probability")).first()[0] > 0.8
