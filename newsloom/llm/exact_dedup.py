@@ -20,6 +20,8 @@ from newsloom.storage import fresh_path, materialize
 
 #: At most so many groups can hold one row in HOT each.
 HOT = 1000
+#: A row's number, where doc_ids repeat.
+ROW = "_newsloom_row"
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,7 +84,22 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame | None:
+    """The rows with numbers of their own, written once so that they stay; None where no doc_id repeats."""
+    if docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return None
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of which ``deduplicate`` keeps the row, with their columns."""
+    """One document of each text, the one with the largest doc_id, with its columns.
+
+    Where doc_ids repeat they do not say which row is kept, so rows are numbered then; of rows that tie one stays.
+    """
+    rows = numbered(docs, id_col)
+    if rows is not None:
+        own = rows.select(F.col(id_col), ROW, F.unhex(F.sha2(lower_ascii(whole(text_col)), 256)).alias("digest"))
+        last = own.groupBy("digest").agg(F.max(F.struct(id_col, ROW)).alias("last")).select(F.col("last")[ROW].alias(ROW))
+        return rows.join(last, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     kept = deduplicate(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"))
     return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.exact_dedup import ROW, numbered
 from newsloom.operators.graph import connected_components
 from newsloom.session import shuffle_width
 from newsloom.storage import materialize
@@ -185,6 +186,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that name their component (the smallest doc_id of each), with their columns."""
+    """The documents that name their component (the smallest doc_id of each), with their columns.
+
+    Where doc_ids repeat rows are numbered, and of rows that tie one stays.
+    """
+    rows = numbered(docs, id_col)
+    if rows is not None:
+        found = near_duplicates(rows, ROW, text_col).select(F.col("doc_id").alias(ROW), "component_id")
+        own = rows.select(ROW, F.col(id_col).cast("long").alias("own")).join(found, ROW)
+        first = own.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull(), "own", ROW)).alias("first"))
+        return rows.join(first.select(F.col("first")[ROW].alias(ROW)), ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     kept = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     return docs.join(kept.select(F.col("doc_id").alias("_kept_id")), F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")

@@ -118,3 +118,21 @@ def test_simhash_edges(spark):
     assert got == sorted([(5, 3), (3, 3), (4, 3), (7, 7), (8, 7), (None, 7), (9, 9), (9, 9)], key=str)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     assert simhash.drop_near_copies(docs).columns == docs.columns
+
+
+def test_one_row_of_each_text_where_ids_repeat(spark):
+    x, y = "one text of some words that is given more than once", "quite another story, told with other words and longer than that"
+    for rows, last, first in (
+        ([(1, x), (5, x), (1, y)], [(1, y), (5, x)], [(1, x), (1, y)]),
+        ([(1, x), (1, x), (1, x.upper())], 1, 1),
+        ([(0, y), (1, x), (1, y), (1, x), (None, x)], [(1, x), (1, y)], [(0, y), (1, x)]),
+        ([(None, x), (None, x), (2, y)], 2, 2),
+    ):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("more", F.lit("m"))
+        for drop, want in ((exact_dedup.drop_copies, last), (simhash.drop_near_copies, first or last)):
+            got = drop(docs)
+            assert got.columns == docs.columns
+            if isinstance(want, int):
+                assert got.count() == want
+                continue
+            assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted(want)
