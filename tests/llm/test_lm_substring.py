@@ -144,3 +144,20 @@ def test_blocks_round_trip():
     assert (back == keys).all() and all((got[k] == columns[k]).all() for k in columns)
     parts = list(chunks.ranges(keys, 9))
     assert sum(s.stop - s.start for _, s in parts) == len(keys)
+
+
+def _unmixed(x):
+    """The number that ``mix64`` makes ``x`` of."""
+    for shift, factor in ((31, 0x94D049BB133111EB), (27, 0xBF58476D1CE4E5B9), (30, 1)):
+        y = x
+        for _ in range(3):
+            y = x ^ (y >> shift)
+        x = y * pow(factor, -1, 1 << 64) % (1 << 64)
+    return x
+
+
+def test_keys_that_differ_in_their_last_bit_stay_apart():
+    keys = [0x123456789ABCDEF0, 0x123456789ABCDEF1]
+    hashes = np.array([_unmixed(k) for k in keys], np.uint64)
+    assert chunks.mix64(hashes).tolist() == keys
+    assert len(np.unique(ngram_lm._token_key(hashes))) == 2
