@@ -141,8 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_chars: i
     """Fit on at most ``max_docs`` labelled documents of at most ``max_chars`` characters that are not held out.
 
     The sample is the one with the smallest hashes of doc_id, so it does not depend on order or size of the input.
-    A doc_id with several labels counts with the smallest; null labels count as none; documents that repeat a doc_id
-    are each used.
+    A doc_id with several labels counts with the smallest; null labels count as none; of documents that repeat a
+    doc_id one is used, that with the smallest bag, so at most ``max_docs`` bags come to the driver.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
     own = own.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("y").alias("y"))
@@ -154,10 +154,11 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, max_chars: i
             bags = [passages(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([zlib.compress(b.tobytes()) for b in bags], pa.binary())], ["doc_id", "y", "bag"])
 
-    rows = texts.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, bag binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.bag))
-    bags = [np.frombuffer(zlib.decompress(r.bag), np.float32).reshape(-1, N_FEATURES) for r in rows[: 2 * max_docs]]
-    return GatedAttention().fit(bags, np.array([r.y for r in rows[: 2 * max_docs]], float))
+    found = texts.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, bag binary")
+    rows = found.groupBy("doc_id", "y").agg(F.min("bag").alias("bag")).collect()
+    rows.sort(key=lambda r: r.doc_id)
+    bags = [np.frombuffer(zlib.decompress(r.bag), np.float32).reshape(-1, N_FEATURES) for r in rows]
+    return GatedAttention().fit(bags, np.array([r.y for r in rows], float))
 
 
 def _scores(net: GatedAttention, texts: pa.Array) -> np.ndarray:

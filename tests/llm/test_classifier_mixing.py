@@ -102,3 +102,12 @@ def test_one_odd_row_does_not_set_the_scale(spark):
             assert (got <= scale * want * (1 + 1e-9)).all()
             assert 1 - got.sum() / (scale * want).sum() == pytest.approx(mixing.SHORT, abs=1e-4)
     assert mixing.mix(docs.unionByName(odd)).agg(F.avg("probability")).first()[0] > 0.8
+
+
+def test_repeated_ids_do_not_push_others_out_of_training(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_classifier.GatedAttention, "fit", lambda self, bags, y: seen.append((len(bags), y.tolist())) or self)
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1][:8]
+    docs = spark.createDataFrame([(i, f"text {k} of {i}") for n, i in enumerate(ids) for k in range(20 if n < 2 else 1)], "doc_id long, text string")
+    quality_classifier.train(docs, spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)], "doc_id long, quality int"), max_docs=8)
+    assert seen == [(8, [0.0, 1.0] * 4)]
