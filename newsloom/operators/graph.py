@@ -7,23 +7,27 @@ two sides are plain shuffles, so adaptive execution may split a node that holds
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.storage import materialize
+from newsloom.storage import discard, materialize
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % F.lit(1 << 40))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "large")
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _star(moves: DataFrame, low: DataFrame) -> DataFrame:
+    return moves.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "small")
-    moved = edges.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(low.select("a", F.col("m").alias("b")))
+def _round(edges: DataFrame) -> DataFrame:
+    """One large-star and one small-star step; the minima are written so that both sides of each join are plain shuffles."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "large", free=False)
+    large = materialize(_canonical(_star(both.where("b > a"), low)), "star", free=False)
+    discard(edges, low)
+    low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "small", free=False)
+    small = materialize(_canonical(_star(large, low).unionByName(low.select("a", F.col("m").alias("b")))), "star", free=False)
+    discard(large, low)
+    return small
 
 
 def _canonical(edges: DataFrame) -> DataFrame:
@@ -41,8 +45,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now = materialize(_canonical(_large_star(now)), "star")
-        now = materialize(_canonical(_small_star(now)), "star")
+        now = _round(now)
         mark = _fingerprint(now)
         if mark == seen:
             break

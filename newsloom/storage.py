@@ -45,15 +45,27 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, free: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and lost executors lose nothing.
 
     Spark deletes the shuffle files of a finished job when the driver collects its garbage, so that is asked for here:
-    on a large driver it could be long until then, and the files would fill the executors' disks.
+    on a large driver it could be long until then, and the files would fill the executors' disks. Small results of an
+    iteration pass ``free=False``; their files go with the next large one.
     """
     path = fresh_path(df.sparkSession, tag)
     jvm = df.sparkSession.sparkContext._jvm
-    jvm.System.gc()  # what the caller let go of since the last result
+    if free:
+        jvm.System.gc()  # what the caller let go of since the last result
     df.write.parquet(path)
-    jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if free:
+        jvm.System.gc()
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the files of results of ``materialize`` that nothing will read any more."""
+    for frame in frames:
+        if frame is not None and getattr(frame, "_written_to", None):
+            remove(frame.sparkSession, frame._written_to)
