@@ -25,8 +25,8 @@ WINDOWS = SPAN - ANCHOR + 1
 HALF = (SPAN - ANCHOR) // 2
 #: Bits of the keys; 32 bits of a second hash stand beside them where a match decides.
 KEY_BITS = 48
-#: Documents are hashed together up to so many bytes; a longer one is hashed alone.
-BATCH = 1 << 20
+#: Documents are hashed together up to so many bytes, which a core's cache holds; a longer one is hashed alone.
+BATCH = 1 << 18
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 LARGEST = np.iinfo(np.int64).max
 
@@ -103,15 +103,14 @@ class _Sampled:
             self.check = np.empty(0, np.uint32)
             return
         first, second = (_Hashes(self.data, which) for which in (0, 1))
-        key = chunks.mix64(first.all(ANCHOR))
-        own = np.repeat(np.arange(len(ids)), np.diff(self.bounds))
+        key = (first.all(ANCHOR) >> np.uint64(32)).astype(np.uint32)  # the upper half depends on every byte
         least = _slide(key, WINDOWS, np.minimum)  # for each window by its start
-        start = np.arange(n - SPAN + 1)
-        inside = (start + SPAN <= self.bounds[own[start] + 1]) & real[own[start]]
-        reach = np.zeros(len(key) + WINDOWS - 1, np.uint64)
-        reach[WINDOWS - 1 : WINDOWS - 1 + len(least)] = np.where(inside, least, np.uint64(0))
+        for i, (low, high) in enumerate(zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True)):
+            least[max(low, high - SPAN + 1) if real[i] else low : high] = 0  # windows of two documents, or of no document
+        reach = np.zeros(len(key) + WINDOWS - 1, np.uint32)
+        reach[WINDOWS - 1 : WINDOWS - 1 + len(least)] = least
         self.at = np.flatnonzero((_slide(reach, WINDOWS, np.maximum) == key) & (key > 0))
-        own = own[self.at]
+        own = np.searchsorted(self.bounds, self.at, "right") - 1
         self.doc = doc[own]
         self.low = np.maximum(self.at - (WINDOWS - 1), self.bounds[own])
         self.high = np.minimum(self.at + SPAN, self.bounds[own + 1])
@@ -142,10 +141,16 @@ class _Entries:
     """Distinct (key, check) in order, the smallest document of each, and the entry of every element."""
 
     def __init__(self, key: np.ndarray, check: np.ndarray, doc: np.ndarray):
-        order = np.lexsort((doc, check, key))
+        order = np.argsort(key)
         k, c = key[order], check[order]
-        new = np.r_[True, (np.diff(k) != 0) | (np.diff(c) != 0)] if len(k) else np.empty(0, bool)
-        self.key, self.check, self.doc = k[new], c[new], doc[order][new]
+        same = k[1:] == k[:-1]
+        if (c[1:][same] != c[:-1][same]).any():  # keys that meet by chance
+            order = np.lexsort((check, key))
+            k, c = key[order], check[order]
+            same = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
+        new = np.r_[True, ~same] if len(k) else np.empty(0, bool)
+        self.key, self.check = k[new], c[new]
+        self.doc = np.minimum.reduceat(doc[order], np.flatnonzero(new)) if len(k) else doc
         self.of = np.empty(len(k), np.int64)
         self.of[order] = np.cumsum(new) - 1
 
