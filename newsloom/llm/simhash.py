@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.exact_dedup import ROW, numbered
+from newsloom.llm.exact_dedup import HOT, ROW, numbered
 from newsloom.operators.graph import connected_components
 from newsloom.session import shuffle_width
 from newsloom.storage import materialize
@@ -177,12 +177,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     takes part in links but never names a component, unless all members are null. No rows: an empty result.
     """
     rows = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    first = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fp")
+    first = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fp")
     linked = materialize(connected_components(links(first)).withColumnRenamed("node", "fp"), "linked-fp")
     named = first.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "components")
-    classes = materialize(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "classes")
-    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = materialize(named.select("fp", "n", "component").join(least, "component").select("fp", "n", "component_id"), "classes")
+    # A fingerprint can hold any share of the rows: those with a thousandth or more, a thousand at most, are broadcast.
+    hot = classes.where(F.col("n") >= max(2, -(-rows.count() // HOT))).drop("n")
+    plain = rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(classes.drop("n"), "fp")
+    both = plain.unionByName(rows.join(F.broadcast(hot), "fp"))
+    return both.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
