@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.text import lower_ascii, whole
 from newsloom.session import shuffle_width
-from newsloom.storage import fresh_path, materialize
+from newsloom.storage import fresh_path, materialize, remove
 
 #: At most so many groups can hold one row in HOT each.
 HOT = 1000
@@ -30,26 +30,40 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 class DigestIndex:
-    """A bucketed, sorted table of the digests seen so far; ``append`` adds those of a batch that are new."""
+    """A bucketed, sorted table of the digests seen so far, each with the batch that brought it.
+
+    The table is there, empty, from the start. ``append`` adds the digests of a batch that it lacks by a sort-merge
+    anti-join. A batch that is appended again, as after a failure in the middle, finds its own digests and adds the rest.
+    """
+
+    SCHEMA = "digest binary, keep_id long, group_size long, batch string"
 
     def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None):
         self.spark, self.buckets = spark, buckets or shuffle_width(spark)
         self.name = name or f"newsloom_digests_{uuid.uuid4().hex}"
         self.path = path or fresh_path(spark, "digests")
+        if not spark.catalog.tableExists(self.name):
+            self._write(spark.createDataFrame([], self.SCHEMA))
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+    def _write(self, rows: DataFrame) -> None:
+        out = rows.write.bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).format("parquet")
+        out.mode("append").saveAsTable(self.name)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append(self, groups: DataFrame) -> None:
-        """Add the groups (one row per digest) whose digest the index lacks."""
-        if self.exists():
-            groups = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        rows = groups.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest")
-        out = rows.write.bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).format("parquet")
-        out.mode("append").saveAsTable(self.name)
+    def unseen(self, groups: DataFrame) -> DataFrame:
+        """The groups (one row per digest) whose digest the index lacks: only the batch is shuffled."""
+        return groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+
+    def append(self, groups: DataFrame, batch: str) -> None:
+        rows = self.unseen(groups).select("digest", F.col("keep_id").cast("long"), "group_size", F.lit(batch).alias("batch"))
+        self._write(rows.repartition(self.buckets, "digest"))
+
+    def drop(self) -> None:
+        """Take the table out of the catalogue and delete its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)
 
 
 def group_digests(rows: DataFrame) -> DataFrame:
@@ -57,31 +71,34 @@ def group_digests(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
-    Of equal texts the row with the largest doc_id stays. Texts that an index from earlier batches holds are all
-    dropped and name the row kept then. Rows that repeat the kept doc_id with an equal text are one document given
-    twice: each is returned, and each is marked kept. A null doc_id is smaller than any other. No rows: an empty
-    result; other columns are not read.
+    Of equal texts the row with the largest doc_id stays. Texts that an index has from earlier batches are all dropped
+    and name the row kept then; a batch of the same name as before is the same batch, so a second try gives the first
+    one's answer. Without an index one is made, empty, and dropped once the result is written. Rows that repeat the
+    kept doc_id with an equal text are one document given twice: each is returned, and each is marked kept. A null
+    doc_id is smaller than any other. No rows: an empty result; other columns are not read.
     """
-    spark = docs.sparkSession
+    spark, batch = docs.sparkSession, batch or uuid.uuid4().hex
+    own = index or DigestIndex(spark)
     rows = materialize(digests(docs, id_col, text_col), "digest-rows")
     groups = materialize(group_digests(rows), "digest-groups")
-    index = index or DigestIndex(spark)
-    before = materialize(index.read().select("digest"), "digests-before") if index.exists() else None
-    index.append(groups)
-    known = index.read()
-    hot = groups.where(F.col("group_size") >= F.lit(max(2, rows.count() // HOT))).select("digest")
+    own.append(groups, batch)
+    known = own.read()
+    hot = groups.where(F.col("group_size") >= F.lit(max(2, -(-rows.count() // HOT)))).select("digest")
     plain = rows.join(F.broadcast(hot), "digest", "left_anti").join(known.hint("merge"), "digest")
     both = plain.unionByName(rows.join(F.broadcast(known.join(F.broadcast(hot), "digest", "left_semi")), "digest"))
-    old = before.withColumn("old", F.lit(True)) if before is not None else None
-    both = both.join(old, "digest", "left") if before is not None else both.withColumn("old", F.lit(None).cast("boolean"))
-    return both.select(
+    out = both.select(
         "doc_id", "keep_id", "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("old").isNull()).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("batch") == batch)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+    if index is not None:
+        return out
+    out = materialize(out, "deduplicated")
+    own.drop()
+    return out
 
 
 def numbered(docs: DataFrame, id_col: str = "doc_id") -> DataFrame | None:

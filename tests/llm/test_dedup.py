@@ -50,6 +50,22 @@ def test_index_persists_over_batches(spark):
     assert got == {4: (2, False), 5: (6, False), 6: (6, True)} and index.read().count() == 3
 
 
+def test_append_is_an_anti_join_and_may_be_repeated(spark):
+    index = exact_dedup.DigestIndex(spark, buckets=3)
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A")], "doc_id long, text string")
+    plan = index.unseen(exact_dedup.group_digests(exact_dedup.digests(docs)))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and plan.count("Exchange") == 1  # the index is not shuffled
+    once = sorted(map(tuple, exact_dedup.deduplicate(docs, index=index, batch="b1").collect()))
+    assert sorted(map(tuple, exact_dedup.deduplicate(docs, index=index, batch="b1").collect())) == once and index.read().count() == 2
+    half = exact_dedup.DigestIndex(spark, buckets=3)  # a first try that ended in the middle
+    half.append(exact_dedup.group_digests(exact_dedup.digests(docs)).where("group_size = 2"), "b1")
+    assert sorted(map(tuple, exact_dedup.deduplicate(docs, index=half, batch="b1").collect())) == once
+    assert not any(r.kept for r in exact_dedup.deduplicate(docs, index=index, batch="b2").collect())
+    before = {t.name for t in spark.catalog.listTables()}
+    exact_dedup.deduplicate(docs).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def _plain_fp(text):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
     if not words:
