@@ -6,13 +6,16 @@ maximisation estimates the labelers' reliabilities; a logistic span classifier i
 stay whatever it says; others are added where it is sure and no base span overlaps them.
 
 Regular expressions in SQL return texts, not places. A pattern's matches and the pieces between them alternate, so
-their lengths add up to the places, in code points.
+running sums of their lengths are the places, in code points. All is linear in a text: patterns begin where a run of
+their characters does, or where the last match ended, and repeat possessively; what stands beside a match is read from
+the pieces, not sought in the text.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm import weak
+from newsloom.llm.arrays import let, scan
 from newsloom.llm.text import whole
 from newsloom.storage import materialize
 
@@ -20,50 +23,57 @@ KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("rule", "gazetteer", "context", "edges", "digits")
 #: A span outside the base patterns is added from this probability on.
 SURE = 0.9
-#: Joins of two characters that a pattern repeats over are marked first, so that no pattern repeats a group: Java
-#: matches those by recursion, which a long text would exhaust. U+0001 itself becomes U+0002; places do not move.
+#: Stops inside host names are marked first, so that the pattern repeats no group: Java matches those by recursion,
+#: which a long text would exhaust. U+0001 itself becomes U+0002; places do not move.
 MARK, SPARE = "\u0001", "\u0002"
 PATTERNS = {
-    "email": r"[A-Za-z0-9.\x01_%+-]+@[A-Za-z0-9-]+\x01[A-Za-z0-9\x01-]*",
-    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
-    "card": r"[0-9][0-9\x01]*",
+    "email": r"(?:(?<![A-Za-z0-9.\x01_%+-])|\G)[A-Za-z0-9.\x01_%+-]++@[A-Za-z0-9-]++\x01[A-Za-z0-9\x01-]*+",
+    "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    # Whole runs of digits with joins, of the right length.
+    "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}(?![ -]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
-    "email": r"[A-Za-z0-9._%+-]{1,64} ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}(?: ?[(\[]dot[)\]] ?|\.)[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}(?: ?[(\[]dot[)\]] ?|\.)[A-Za-z]{2,24}",
     "phone": r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])",
 }
 #: A cheap test that a text can hold a match at all.
-MAYBE = {"email": r"@[A-Za-z0-9-]+\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"(?:[0-9][ -]?){11}[0-9]", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
+MAYBE = {"email": r"@[A-Za-z0-9-]++\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"(?:[0-9][ -]?){11}[0-9]", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
 #: Fixed lists: top-level domains, words that announce personal data, words that announce other numbers.
 DOMAINS = ("com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "eu")
 ANNOUNCE = r"(?i)\b(?:call|phone|tel|fax|mobile|contact|email|e-mail|mail|write|reach|host|server|address|addr|ip|card|visa|pay|account)\b"
 OTHER = r"(?i)\b(?:version|isbn|order|sku|part|model|page|chapter|figure|no|nr|id|section)\b"
 
 
-def _marked(text: Column, kind: str) -> Column:
-    if kind not in ("email", "card"):
-        return text
-    between = r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])" if kind == "email" else r"(?<=[0-9])[ -](?=[0-9])"
-    return F.regexp_replace(F.translate(text, MARK, SPARE), between, MARK)
+EMPTY = "CAST(array() AS array<struct<kind:int,s:int,e:int,m:string,base:boolean,left:string,right:string>>)"
 
 
-def _spans(text: Column, pattern: str, possible: Column) -> Column:
-    """An array of ``(start, end)`` of the leftmost matches, code points, end exclusive."""
-    lengths = F.zip_with(
-        F.transform(F.split(text, pattern, -1), F.char_length),
-        F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.char_length),
-        lambda gap, own: F.struct(gap.alias("gap"), own.alias("own")),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<s:int,e:int>>)").alias("out"))
-    added = F.aggregate(
-        F.filter(lengths, lambda x: x["own"].isNotNull()), start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["own"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("s"), (acc["at"] + x["gap"] + x["own"]).alias("e")))).alias("out"),
-        ),
-    )["out"]
-    return F.when(possible, added).otherwise(F.expr("CAST(array() AS array<struct<s:int,e:int>>)"))
+def _marked(text: Column) -> Column:
+    return F.regexp_replace(F.translate(text, MARK, SPARE), r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", MARK)
+
+
+def _matches(kind: str, base: bool, text: Column, pattern: str) -> Column:
+    """The leftmost matches in order as candidates: places in code points, end exclusive, with what stands beside them."""
+    marked = kind == "email" and base
+    text = _marked(text) if marked else text
+    plain = (lambda x: F.translate(x, MARK, ".")) if marked else (lambda x: x)
+
+    def placed(gaps: Column, own: Column) -> Column:
+        lengths = F.transform(own, lambda m, i: F.char_length(F.get(gaps, i)) + F.char_length(m))
+
+        def one(ends: Column, m: Column, i: Column) -> Column:
+            e, text_of = F.get(ends, i), plain(m)
+            return F.struct(
+                F.lit(KINDS.index(kind)).alias("kind"), (e - F.char_length(m)).alias("s"), e.alias("e"), text_of.alias("m"),
+                (_valid(kind, text_of) if base else F.lit(False)).alias("base"),
+                plain(F.substring(F.get(gaps, i), -24, 24)).alias("left"), plain(F.substring(F.get(gaps, i + 1), 1, 1)).alias("right"),
+            )
+
+        found = let(scan(lengths, lambda a, b: a + b, F.lit(0)), lambda ends: F.transform(own, lambda m, i: one(ends, m, i)))
+        return F.when(F.size(own) > 0, found).otherwise(F.expr(EMPTY))
+
+    gaps, own = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(gaps, lambda g: let(own, lambda o: placed(g, o)))
 
 
 def _digits(m: Column) -> Column:
@@ -85,20 +95,19 @@ def _valid(kind: str, m: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
-def _found(kind: str, base: bool, spans: str, worth: bool) -> Column:
-    """Candidates of one pattern as structs; ``worth``: those failing the base rule stay as candidates."""
+def _apart(base: Column, more: Column) -> Column:
+    """Those of ``more`` that overlap none of ``base``: a running maximum of ends before, and minimum of starts after."""
+    far = F.lit(1 << 30)
+    ours = F.transform(base, lambda c: F.struct(c["s"].alias("s"), F.lit(0).alias("other"), c["e"].alias("e"), F.lit(-1).alias("at")))
+    theirs = F.transform(more, lambda c, i: F.struct(c["s"].alias("s"), F.lit(1).alias("other"), c["e"].alias("e"), i.alias("at")))
 
-    def of(x: Column) -> Column:
-        m = F.substring(F.col("text"), x["s"] + 1, x["e"] - x["s"])
-        return F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), m.alias("m"),
-            (_valid(kind, m) if base else F.lit(False)).alias("base"),
-            F.substring(F.col("text"), F.greatest(x["s"] - 23, F.lit(1)), F.least(x["s"], F.lit(24))).alias("left"),
-            F.substring(F.col("text"), x["e"] + 1, F.lit(1)).alias("right"),
-        )
+    def free(both: Column) -> Column:
+        ended = scan(F.transform(both, lambda x: F.when(x["other"] == 0, x["e"]).otherwise(-1)), F.greatest, F.lit(-1))
+        begun = F.reverse(scan(F.reverse(F.transform(both, lambda x: F.when(x["other"] == 0, x["s"]).otherwise(far))), F.least, far))
+        kept = let(ended, lambda a: let(begun, lambda b: F.filter(both, lambda x, i: (x["other"] == 1) & (F.get(a, i) <= x["s"]) & (F.get(b, i) >= x["e"]))))
+        return F.transform(kept, lambda x: F.get(more, x["at"]))
 
-    found = F.transform(F.col(spans), of)
-    return found if worth else F.filter(found, lambda c: c["base"])
+    return F.when((F.size(base) == 0) | (F.size(more) == 0), more).otherwise(let(F.sort_array(F.concat(ours, theirs)), free))
 
 
 def _votes(c: Column) -> list[Column]:
@@ -144,11 +153,13 @@ def _joined(spans: Column) -> Column:
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, found)``: every row with its candidates and the labelers' votes on them."""
     rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).cast("string").alias("text"))
-    spans = {f"b_{k}": _spans(_marked(F.col("text"), k), PATTERNS[k], F.col("text").rlike(MAYBE[k])) for k in KINDS}
-    spans |= {f"l_{k}": _spans(F.col("text"), p, F.col("text").rlike(p)) for k, p in LOOSE.items()}
-    rows = rows.withColumns(spans)
-    parts = [_found(k, True, f"b_{k}", k == "card") for k in KINDS] + [_found(k, False, f"l_{k}", True) for k in LOOSE]
-    parts[KINDS.index("card")] = F.filter(parts[KINDS.index("card")], lambda c: c["base"] | F.char_length(_digits(c["m"])).between(15, 16))
+    text = F.col("text")
+    found = {f"b_{k}": F.when(text.rlike(MAYBE[k]), _matches(k, True, text, p)).otherwise(F.expr(EMPTY)) for k, p in PATTERNS.items()}
+    found |= {f"l_{k}": F.when(text.rlike(p), _matches(k, False, text, p)).otherwise(F.expr(EMPTY)) for k, p in LOOSE.items()}
+    rows = rows.withColumns(found)
+    # A card that fails its test may be one with a slip; other base patterns are candidates only where they hold.
+    worth = {"b_card": lambda c: c["base"] | F.char_length(_digits(c["m"])).between(15, 16)}
+    parts = [F.filter(name, worth.get(name, lambda c: c["base"])) if name.startswith("b_") else F.col(name) for name in found]
     rows = rows.select("doc_id", F.concat(*parts).alias("found"))
     voted = F.transform("found", lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"), c["base"].alias("base"), F.struct(*[v.cast("int").alias(n) for n, v in zip(LABELERS, _votes(c), strict=True)]).alias("v")))
     return rows.select("doc_id", voted.alias("found"))
@@ -174,8 +185,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     base = F.filter("found", lambda c: c["base"])
     rows = rows.withColumn("base", base)
-    apart = lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-    rows = rows.withColumn("more", F.filter("found", lambda c: ~c["base"] & apart(c) & sure(c)))
+    rows = rows.withColumn("more", F.filter("found", lambda c: ~c["base"] & sure(c)))
+    rows = rows.withColumn("more", _apart(F.col("base"), F.col("more")))
     kinds = F.transform("base", lambda c: c["kind"])
     counts = [F.size(kinds).cast("long") - F.size(F.array_remove(kinds, F.lit(k))).cast("long") for k in range(len(KINDS))]
     counts = [n.alias(f"n_{name}") for n, name in zip(counts, KINDS, strict=True)]

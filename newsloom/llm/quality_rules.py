@@ -1,7 +1,9 @@
 """Quality rules by weak supervision: rules vote or abstain, and a posterior decides instead of all rules passing.
 
 One pass over the texts gives the figures of each document, within the row and without a shuffle; the table of figures
-is written, its vote patterns are counted, and the fitted posterior is an expression over the figures.
+is written, its vote patterns are counted, and the fitted posterior is an expression over the figures. The estimation
+reads the rows that pass the base rules, which alone are in question: with the others in, the two labels that explain
+the votes best are "short or repeated" and the rest.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -12,8 +14,6 @@ from newsloom.llm.text import WORD, whole
 from newsloom.storage import materialize
 
 WINDOW = 8
-#: How often a rule may vote against a good document.
-FALSE_ALARM = 0.001
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -51,36 +51,44 @@ def _vote(good: Column, bad: Column) -> Column:
 
 def rules() -> dict[str, Column]:
     """Each rule's vote over the figures: 1 for good, -1 for bad, 0 to abstain; on short texts most rules abstain."""
-    c, n, never = F.col, F.col("n_words"), F.lit(False)
-    some = n >= 20
-    mean = c("word_chars") / F.greatest(n, F.lit(1))
+    c, n = F.col, F.col("n_words")
+    some, chars = n >= 20, c("word_chars")
+    mean = chars / F.greatest(n, F.lit(1))
     spread = F.log(F.greatest(c("n_distinct"), F.lit(2)).cast("double")) / F.log(F.greatest(n, F.lit(2)).cast("double"))
     return {
         "length": _vote(n >= 50, n < 20),
-        "word_length": _vote(mean.between(3, 10), (mean < 2) | (mean > 14)),
-        "stops": _vote(some & (c("n_stops") > 0), some & (c("n_stops") == 0)),
-        # What lacks one defect is not good for that: these vote against or abstain.
-        "symbols": _vote(never, c("n_symbols") * 10 > n),
-        "dup_lines": _vote(never, c("n_dup_lines") * 2 > c("n_lines")),
-        "repeats": _vote(never, c("n_repeat_words") * 4 > n),
-        "upper": _vote(never, some & (c("n_upper") * 2 > c("word_chars"))),
-        "variety": _vote(never, some & (spread < 0.6)),
-        "shouts": _vote(never, c("n_shouts") * 20 > n),
+        "word_length": _vote(mean.between(4.4, 7), (mean < 3.5) | (mean > 9)),
+        "stops": _vote(some & (c("n_stops") * 33 >= n) & (c("n_stops") * 4 <= n), some & (c("n_stops") * 100 < n)),
+        "symbols": _vote(some & (c("n_symbols") == 0), c("n_symbols") * 10 > n),
+        # Weak ones: good documents too have headings and refrains twice.
+        "dup_lines": _vote((c("n_dup_lines") == 0) & (c("n_lines") >= 3), c("n_dup_lines") * 5 > c("n_lines")),
+        "repeats": _vote(some & (c("n_repeat_words") == 0), c("n_repeat_words") * 20 > n),
+        "upper": _vote(some & (c("n_upper") * 250 > chars) & (c("n_upper") * 10 <= chars), some & ((c("n_upper") * 500 <= chars) | (c("n_upper") * 4 > chars))),
+        "variety": _vote(some & (spread >= 0.9), some & (spread < 0.75)),
+        "shouts": _vote(F.lit(False), c("n_shouts") * 20 > n),
     }
 
 
+def _failed() -> Column:
+    return (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
+
+
+def estimate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, weak.Votes]:
+    """The figures and votes of every row, written; and what the rules' votes are worth (see ``Votes.reliabilities``)."""
+    votes = rules()
+    rows = materialize(_figures(docs, id_col, text_col).withColumns({f"v_{k}": v for k, v in votes.items()}), "figures")
+    return rows, weak.fit(rows.where(~_failed()), [f"v_{k}" for k in votes])
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality)`` of every row.
 
     A null text has no words, so it fails the base rules, as all texts under 20 words do; ``quality`` is the posterior
     all the same. Rows that repeat each vote and are each returned. No rows: an empty result.
     """
-    votes = rules()
-    rows = materialize(_figures(docs, id_col, text_col).withColumns({f"v_{k}": v for k, v in votes.items()}), "figures")
-    names = [f"v_{k}" for k in votes]
-    quality = weak.fit(rows, names, FALSE_ALARM).posterior([F.col(v) for v in names])
-    failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
+    rows, model = estimate(docs, id_col, text_col)
+    quality = model.posterior([F.col(f"v_{k}") for k in rules()])
     return rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        (~failed & (quality >= 0.5)).alias("kept"), quality.alias("quality"),
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", _failed().alias("base_failed"),
+        (~_failed() & (quality >= 0.5)).alias("kept"), quality.alias("quality"),
     )
