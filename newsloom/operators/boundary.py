@@ -1,10 +1,15 @@
 """Boundary vectors: pairs near in time and meaning, and nearest neighbours."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 
+#: Vectors of one block.
+BLOCK = 512
+
 
 def dated(emb: DataFrame, events: DataFrame) -> DataFrame:
     """``(id, label, x, sec)``: vectors with the time of the event of the same number."""
@@ -12,18 +17,41 @@ def dated(emb: DataFrame, events: DataFrame) -> DataFrame:
     return emb.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("x")).join(when, "id")
 
 
-def near_in_time(rows: DataFrame, hours: int) -> DataFrame:
-    """``(a, b, label_a, label_b, cos)`` of the pairs at most so many hours apart, a < b.
+def near_in_time(rows: DataFrame, hours: int, least: float | None = None) -> DataFrame:
+    """``(a, b, label_a, label_b, cos)`` of the pairs at most so many hours apart, a < b; those of ``least`` or more alone if given.
 
     An interval join as an equi-join: time is cut into windows of that length, the left side is in its own and the
-    right side in its own and both neighbours, so a pair meets exactly once and no window meets all others.
+    right side in its own and both neighbours, so a pair meets exactly once and no window meets all others. A full
+    window is dealt into blocks, and each two blocks meet in a group of their own, as one product of two matrices, so no
+    group grows with the table. The pairs themselves are as many as the windows hold.
     """
     width = hours * 3600
-    own = F.floor(F.col("sec") / width)
-    left = rows.select(F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("x").alias("x_a"), F.col("sec").alias("sec_a"), own.alias("w"))
-    right = rows.select(F.col("id").alias("b"), F.col("label").alias("label_b"), F.col("x").alias("x_b"), F.col("sec").alias("sec_b"), F.explode(F.array(own - 1, own, own + 1)).alias("w"))
-    near = left.join(right, "w").where((F.col("a") < F.col("b")) & (F.abs(F.col("sec_a") - F.col("sec_b")) <= width))
-    return near.select("a", "b", "label_a", "label_b", F.round(T.cosine(F.col("x_a"), F.col("x_b")), 6).alias("cos"))
+    rows = rows.withColumn("w", F.floor(F.col("sec") / width))
+    most = rows.groupBy("w").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    blocks = max(1, -(-most // BLOCK))
+    all_of, mine = F.sequence(F.lit(0), F.lit(blocks - 1)), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    plain = ["id", "label", "sec", "x"]
+    left = rows.select(*plain, "w", mine.alias("i"), F.explode(all_of).alias("j"))
+    # New columns for the right side: Spark cannot tell those of one frame in both groups apart.
+    right = rows.select(*[F.expr(f"{c} AS {c}") for c in plain], F.explode(F.array(F.col("w") - 1, F.col("w"), F.col("w") + 1)).alias("w"), mine.alias("j")).withColumn("i", F.explode(all_of))
+
+    def opened(t: pa.Table) -> tuple:
+        x = t.column("x").combine_chunks()
+        return (*(t.column(c).to_numpy() for c in ("id", "label", "sec")), x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()]
+        if not a.num_rows or not b.num_rows:
+            return pa.table([pa.array([], k) for k in kinds], names=["a", "b", "label_a", "label_b", "cos"])
+        (ia, la, sa, xa), (ib, lb, sb, xb) = opened(a), opened(b)
+        norms = np.sqrt((xa * xa).sum(1))[:, None] * np.sqrt((xb * xb).sum(1))[None, :]
+        cos = np.round(xa @ xb.T / (norms + 1e-10), 6)
+        p, q = np.nonzero((ia[:, None] < ib[None, :]) & (np.abs(sa[:, None] - sb[None, :]) <= width) & (cos >= (-2 if least is None else least)))
+        return pa.table([pa.array(v, k) for v, k in zip((ia[p], ib[q], la[p], lb[q], cos[p, q]), kinds, strict=True)], names=["a", "b", "label_a", "label_b", "cos"])
+
+    key = ["w", "i", "j"]
+    met = left.groupBy(*key).cogroup(right.groupBy(*key))
+    return met.applyInArrow(meet, "a long, b long, label_a int, label_b int, cos double")
 
 
 def nearest(emb: DataFrame, vector: list[float], k: int) -> DataFrame:

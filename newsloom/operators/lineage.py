@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 from newsloom.operators.graph import connected_components
-from newsloom.storage import materialize, table
+from newsloom.storage import materialize, state, table
 
 MIN_SHARED, DF_SHARE, DF_LEAST, MIN_SENTENCE = 2, 0.2, 5, 12
-_MEMBERS: dict[tuple[str, str], DataFrame] = {}
+_MEMBERS: dict[tuple, DataFrame] = {}
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,30 +28,48 @@ def roles(arts: DataFrame) -> DataFrame:
 
 
 def frequent_cut(role_rows: DataFrame, n_articles: int) -> DataFrame:
-    """Roles in at most a fifth of the articles (at least five); this also bounds the pairs that a role can make."""
+    """Roles in at most a fifth of the articles (at least five)."""
     most = max(DF_LEAST, int(DF_SHARE * n_articles))
     rare = role_rows.groupBy("norm").agg(F.count("*").alias("df")).where(F.col("df").between(2, most))
     return role_rows.join(rare, "norm", "left_semi")
 
 
 def shared_pairs(role_rows: DataFrame, n_articles: int, min_shared: int = MIN_SHARED) -> DataFrame:
-    """``(a, b, n)``: pairs of articles with at least ``min_shared`` roles in common, a < b."""
+    """``(a, b, n)``: pairs of articles with at least ``min_shared`` roles in common, a < b: as many as there are."""
     own = frequent_cut(role_rows, n_articles).select("norm", "article_id")
     left, right = own.withColumnRenamed("article_id", "a"), own.withColumnRenamed("article_id", "b")
     return left.join(right, "norm").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_shared)
 
 
+def linked(role_rows: DataFrame, n_articles: int) -> DataFrame:
+    """``(a, b)``: links that make the components of ``shared_pairs``, from groups of equal articles to one of each.
+
+    Articles with the same set of frequent roles, two at least, are one group: its members link to its smallest, and
+    only that one meets others. So a text that is copied through a fifth of the corpus makes a row for each copy, not a
+    pair for each two.
+    """
+    own = frequent_cut(role_rows, n_articles).select("article_id", "norm")
+    sets = own.groupBy("article_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("norm")), "\n"), 256).alias("same"), F.count("*").alias("k"))
+    sets = materialize(sets.where(F.col("k") >= MIN_SHARED), "role-sets", free=False)
+    first = sets.groupBy("same").agg(F.min("article_id").alias("first"))
+    copies = sets.join(first, "same").where("article_id <> first").select(F.col("first").alias("a"), F.col("article_id").alias("b"))
+    kept = materialize(own.join(first.select(F.col("first").alias("article_id")), "article_id", "left_semi").select("article_id", "norm"), "role-rows", free=False)
+    left, right = kept.select("norm", F.col("article_id").alias("a")), kept.select("norm", F.col("article_id").alias("b"))
+    pairs = left.join(right, "norm").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SHARED)
+    return pairs.select("a", "b").unionByName(copies)
+
+
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(cluster_id, article_id, source_id, event_ts, event_sec, title, rn)``: narratives in order of time.
 
     A narrative is a connected component of the pairs; its id is its smallest article. Undated articles come last.
-    The result is written once for each application and input, since many queries start from it.
+    The result is written once for each application and state of the input files, since many queries start from it.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, state(spark, sf_dir, "documents", "events"))
     if key not in _MEMBERS:
         arts = articles(spark, sf_dir)
-        pairs = shared_pairs(roles(arts), arts.count())
-        label = connected_components(pairs).select(F.col("node").alias("article_id"), F.col("component").alias("cluster_id"))
+        own = materialize(roles(arts).select("article_id", "norm"), "roles", free=False)
+        label = connected_components(linked(own, arts.count())).select(F.col("node").alias("article_id"), F.col("component").alias("cluster_id"))
         rows = arts.drop("text", "lang").join(label, "article_id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "article_id"))
         order = Window.partitionBy("cluster_id").orderBy(F.col("event_sec").asc_nulls_last(), "article_id")
         _MEMBERS[key] = materialize(rows.withColumn("rn", F.row_number().over(order).cast("long")), "members")
@@ -67,3 +85,35 @@ def narratives(member: DataFrame) -> DataFrame:
         F.min_by("source_id", "rn").alias("first_source"), F.max_by("article_id", "rn").alias("last_id"),
     )
     return out.withColumn("narrative_id", F.concat(F.lit("narrative:"), F.substring(F.sha1(F.col("members")), 1, 12)))
+
+
+def frames(member: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(cluster_id, cos)`` of the first and the newest member of narratives of two or more; both need a vector.
+
+    The newest member is the last in the order that puts undated ones last.
+    """
+    ends = member.groupBy("cluster_id").agg(F.count("*").alias("n"), F.min_by("article_id", "rn").alias("f"), F.max_by("article_id", "rn").alias("l")).where("n >= 2")
+    ends = ends.join(vectors.select(F.col("article_id").alias("f"), F.col("x").alias("x_f")), "f")
+    ends = ends.join(vectors.select(F.col("article_id").alias("l"), F.col("x").alias("x_l")), "l")
+    return ends.select("cluster_id", F.round(T.cosine(F.col("x_f"), F.col("x_l")), 6).alias("cos"))
+
+
+def stories(member: DataFrame, role_rows: DataFrame, vectors: DataFrame, now_sec: int, frame: float) -> DataFrame:
+    """Every narrative with all that is known of it: the columns of ``narratives`` and, besides,
+
+    ``title`` and ``first_seen`` (of the first reporter), ``entities`` (the first twelve of three letters or more, by
+    text), ``new_article_count`` (in the day before ``now_sec``), ``frame_shift`` with its score and note (null and false
+    where a vector is missing) and ``derivatives``, how many articles came after the first.
+    """
+    extra = member.groupBy("cluster_id").agg(
+        F.min_by("title", "rn").alias("title"), F.min("event_ts").alias("first_seen"),
+        F.count_if(F.col("event_sec") >= now_sec - 86400).alias("new_article_count"), (F.count("*") - 1).alias("derivatives"),
+    )
+    named = member.select("article_id", "cluster_id").join(role_rows.where(F.length("norm") >= 3), "article_id").select("cluster_id", "norm").distinct()
+    place = Window.partitionBy("cluster_id").orderBy("norm")
+    kept = named.withColumn("k", F.row_number().over(place)).where("k <= 12")
+    entities = kept.groupBy("cluster_id").agg(F.array_join(F.array_sort(F.collect_list("norm")), "|").alias("entities"))
+    shift = frames(member, vectors).select("cluster_id", F.col("cos").alias("frame_shift_score"), (F.col("cos") < frame).alias("frame_shift"))
+    out = narratives(member).join(extra, "cluster_id").join(entities, "cluster_id", "left").join(shift, "cluster_id", "left")
+    note = F.when(F.col("frame_shift"), F.format_string("Frame shift: first and newest article are %.3f alike", "frame_shift_score"))
+    return out.withColumns({"entities": F.coalesce("entities", F.lit("")), "frame_shift": F.coalesce("frame_shift", F.lit(False)), "frame_shift_note": note})

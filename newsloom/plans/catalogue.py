@@ -8,7 +8,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.plans import entries
+from newsloom.plans import engine, entries
 from newsloom.plans.views import oracle, views
 
 ASOF, ASOF_SEC = "2024-01-31 00:00:00", 1706659200
@@ -17,9 +17,7 @@ DAYS = f"CASE WHEN latest IS NULL THEN 9999 ELSE greatest(0, CAST(floor(({ASOF_S
 RANKED = f"SELECT n.cluster_id, n.n_sources, n.latest, t.trust, {DAYS} AS days FROM narr n JOIN ( {TRUSTED} ) t ON n.cluster_id = t.cluster_id JOIN (SELECT cluster_id, max(event_sec) AS last_sec FROM member GROUP BY cluster_id) s ON n.cluster_id = s.cluster_id"
 REMAP = "SELECT p_partkey AS old_id, p_partkey - p_partkey % 10 AS new_id FROM part "
 EDGE = "SELECT c_custkey AS a, c_nationkey + 1000000 AS b FROM customer "
-AGREE = "SELECT a.source_id AS s1, b.source_id AS s2, count(*) AS shared FROM (SELECT DISTINCT cluster_id, source_id FROM member ) a JOIN (SELECT DISTINCT cluster_id, source_id FROM member ) b ON a.cluster_id = b.cluster_id AND a.source_id <> b.source_id GROUP BY a.source_id, b.source_id"
 SWEEP = "SELECT th, count(CASE WHEN cos >= th AND label_a = label_b THEN 1 END) AS tp, count(CASE WHEN cos >= th AND label_a <> label_b THEN 1 END) AS fp, count(CASE WHEN cos < th AND label_a = label_b THEN 1 END) AS fn FROM sim CROSS JOIN (SELECT CAST(0.1 AS DOUBLE) AS th UNION ALL SELECT CAST(0.2 AS DOUBLE) UNION ALL SELECT CAST(0.3 AS DOUBLE)) x GROUP BY th"
-BM25 = "SELECT k.article_id, round(sum(-idf * k.tf * 2.2 / (k.tf + 1.2 * (0.25 + 0.75 * l.len / s.avgdl))), 6) AS score FROM token k JOIN (SELECT term, CASE WHEN i > 0 THEN i ELSE 1e-6 END AS idf FROM (SELECT term, ln(((SELECT count(*) FROM article ) - count(*) + 0.5) / (count(*) + 0.5)) AS i FROM token WHERE term IN ('the', 'thing', 'license', 'une') GROUP BY term) z) d ON k.term = d.term JOIN (SELECT article_id, CAST(sum(tf) AS DOUBLE) AS len FROM token GROUP BY article_id) l ON k.article_id = l.article_id CROSS JOIN (SELECT sum(tf) / CAST((SELECT count(*) FROM article ) AS DOUBLE) AS avgdl FROM token ) s GROUP BY k.article_id"
 
 SQL = {
     # Scans, lookups, filters
@@ -32,7 +30,6 @@ SQL = {
     "title_fallback": "SELECT article_id, coalesce(nullif(title, ''), substring(text, 1, 80)) AS title FROM article ",
     "newspaper_articles": "SELECT article_id, source_id, coalesce(nullif(title, ''), substring(text, 1, 80)) AS title, event_ts, substring(event_ts, 1, 10) AS day FROM article ",
     "pending_summaries": "SELECT a.article_id FROM article a LEFT JOIN labels l ON a.article_id = l.doc_id WHERE l.doc_id IS NULL ORDER BY a.article_id LIMIT 10",
-    "range_filter": f"SELECT article_id, event_ts FROM article WHERE event_sec IS NULL OR event_sec >= {ASOF_SEC} - 7 * 86400",
     "relative_age": f"SELECT article_id, CASE WHEN event_sec IS NULL THEN '' WHEN {ASOF_SEC} - event_sec < 3600 THEN concat(CAST(CAST(floor(({ASOF_SEC} - event_sec) / 60.0) AS BIGINT) AS STRING), ' min ago') WHEN {ASOF_SEC} - event_sec < 86400 THEN concat(CAST(CAST(floor(({ASOF_SEC} - event_sec) / 3600.0) AS BIGINT) AS STRING), ' hr ago') ELSE concat(CAST(CAST(floor(({ASOF_SEC} - event_sec) / 86400.0) AS BIGINT) AS STRING), ' days ago') END AS age FROM article ",
     "feed_budget": "SELECT article_id, source_id FROM (SELECT article_id, source_id, row_number() OVER (PARTITION BY source_id ORDER BY article_id) AS k FROM article ) x WHERE k <= 5",
     "registry_lookup": "SELECT a.article_id, coalesce(t.trust, 0.3) AS base_trust FROM article a LEFT JOIN (SELECT source_id, trust FROM trust WHERE source_id <> 'src1') t ON a.source_id = t.source_id",
@@ -44,13 +41,11 @@ SQL = {
     "role_facets": "SELECT norm, count(*) AS reference_count, min(article_id) AS first_article_id FROM role GROUP BY norm",
     "role_df_filter": "SELECT norm, count(*) AS df FROM role GROUP BY norm HAVING count(*) <= (SELECT greatest(5, CAST(floor(0.2 * count(*)) AS INT)) FROM article )",
     "self_ref_filter": "SELECT r.article_id, r.norm FROM role r JOIN article a ON r.article_id = a.article_id WHERE position(trim(lower(replace(replace(a.source_id, '_', ' '), '-', ' '))) IN r.norm) = 0",
-    "role_match": "SELECT role_id, norm, CASE WHEN norm = 'the of' THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.95 AS DOUBLE) END AS score FROM (SELECT DISTINCT role_id, norm FROM role ) r WHERE norm = 'the of' OR position('the of' IN norm) > 0",
     "shared_role_pairs": "SELECT a, b, n FROM pair ",
     # Narratives
     "narrative_clusters": "SELECT cluster_id, count(*) AS size, count(DISTINCT source_id) AS n_sources FROM member GROUP BY cluster_id",
     "narratives": "SELECT narrative_id, cluster_id, n, members, sources, latest, first_id, first_source FROM narr ",
     "lineage": "SELECT n.narrative_id, m.article_id, m.rn, n.first_id, n.first_source, n.latest FROM narr n JOIN member m ON n.cluster_id = m.cluster_id",
-    "lineage_rebuild": "SELECT o.narrative_id AS stale_id FROM narr o LEFT JOIN (SELECT narrative_id FROM narr WHERE first_source <> 'src0') w ON o.narrative_id = w.narrative_id WHERE w.narrative_id IS NULL",
     "first_reporter": "SELECT cluster_id, article_id, source_id FROM member WHERE rn = 1",
     "derivatives": "SELECT concat('deriv:', CAST(f.article_id AS STRING), ':', CAST(m.article_id AS STRING)) AS derivative_id, f.article_id AS original, m.article_id AS derivative FROM member m JOIN member f ON m.cluster_id = f.cluster_id AND f.rn = 1 WHERE m.rn > 1",
     "top_stories": "SELECT cluster_id, n, latest FROM narr ORDER BY coalesce(latest, '9999') DESC, cluster_id LIMIT 30",
@@ -61,31 +56,21 @@ SQL = {
     "narrative_source_counts": "SELECT cluster_id, source_id, count(*) AS n FROM member GROUP BY cluster_id, source_id",
     "narrative_roles": "SELECT DISTINCT m.cluster_id, r.role_id FROM member m JOIN role r ON m.article_id = r.article_id",
     "role_story_link": "SELECT d.role_id, m.cluster_id FROM (SELECT role_id, min(article_id) AS article_id FROM role GROUP BY role_id) d JOIN member m ON d.article_id = m.article_id",
-    "narrative_trust": TRUSTED,
-    "intersect_min_trust": f"SELECT cluster_id, trust FROM ( {TRUSTED} ) t WHERE trust >= 0.7",
-    "intersect_all": "SELECT m.cluster_id, count(DISTINCT s.spec) AS matched FROM member m JOIN article a ON m.article_id = a.article_id JOIN (SELECT 0 AS spec, 'src3' AS who, 'en' AS place UNION ALL SELECT 1, 'src5', 'en') s ON a.source_id = s.who AND a.lang = s.place GROUP BY m.cluster_id HAVING count(DISTINCT s.spec) = 2",
-    "intersect_any": "SELECT m.cluster_id, count(DISTINCT s.spec) AS matched FROM member m JOIN article a ON m.article_id = a.article_id JOIN (SELECT 0 AS spec, 'src3' AS who, 'en' AS place UNION ALL SELECT 1, 'src5', 'en') s ON a.source_id = s.who AND a.lang = s.place GROUP BY m.cluster_id",
     "rank_trust": f"SELECT cluster_id, trust FROM ( {RANKED} ) r ORDER BY trust DESC, cluster_id LIMIT 20",
     "rank_recency": f"SELECT cluster_id, days FROM ( {RANKED} ) r ORDER BY days, cluster_id LIMIT 20",
     "rank_sources": f"SELECT cluster_id, n_sources FROM ( {RANKED} ) r ORDER BY n_sources DESC, cluster_id LIMIT 20",
     "rank_trust_recency": f"SELECT cluster_id, round(0.6 * trust + 0.4 / (1 + days), 6) AS rank_score FROM ( {RANKED} ) r ORDER BY round(0.6 * trust + 0.4 / (1 + days), 6) DESC, cluster_id LIMIT 20",
     "narratives_page": "SELECT cluster_id, n, latest FROM narr ORDER BY latest DESC NULLS LAST, cluster_id LIMIT 20 OFFSET 20",
-    "ui_filter": "SELECT cluster_id, n_sources, latest FROM narr WHERE n_sources >= 2 AND latest >= '2024-01-10' AND position('src1' IN sources) > 0",
+    "ui_filter": "SELECT cluster_id, n_sources, latest FROM narr WHERE n_sources >= 2 AND latest >= '2024-01-02' AND position('src1' IN sources) > 0",
     "brief_selection": "SELECT first_id AS article_id FROM narr ORDER BY coalesce(latest, '9999') DESC, cluster_id LIMIT 8",
     "source_agenda": "SELECT source_id, count(CASE WHEN source_id = first_source THEN 1 END) AS led, count(CASE WHEN source_id <> first_source THEN 1 END) AS echoed FROM (SELECT DISTINCT m.cluster_id, m.source_id, n.first_source FROM member m JOIN narr n ON m.cluster_id = n.cluster_id) x GROUP BY source_id",
     "context_topn": "SELECT cluster_id, article_id FROM (SELECT cluster_id, article_id, row_number() OVER (PARTITION BY cluster_id ORDER BY event_ts DESC NULLS LAST, article_id) AS k FROM member ) x WHERE k <= 10",
-    "context_totals": "SELECT cluster_id, count(*) AS articles, count(DISTINCT source_id) AS sources FROM member GROUP BY cluster_id",
     # Trust
     "source_trusts": "SELECT source_id, trust FROM trust ",
-    "trust_update": f"SELECT t.source_id, t.trust AS base_trust, coalesce(r.related, 0) AS related FROM trust t LEFT JOIN (SELECT s1, count(*) AS related FROM ( {AGREE} ) g GROUP BY s1) r ON t.source_id = r.s1",
-    "trust_board": "SELECT source_id, trust, CAST(row_number() OVER (ORDER BY trust DESC, source_id) AS BIGINT) AS place FROM trust ",
-    "trust_shift": "SELECT source_id, trust AS before_trust, round(least(1.0, trust + 0.1), 6) AS after_trust FROM trust ",
     # Full text
     "fts_index": "SELECT article_id, term, tf FROM token ",
     "fts_count": "SELECT count(DISTINCT article_id) AS total FROM token WHERE term IN ('the', 'license')",
     "fts_browse": "SELECT article_id, event_ts FROM article ORDER BY event_ts DESC NULLS LAST, article_id LIMIT 20 OFFSET 20",
-    "fts_range": "SELECT article_id, event_ts FROM article WHERE event_ts >= '2024-01-24' ",
-    "fts_search": f"SELECT article_id, score FROM ( {BM25} ) r ORDER BY score, article_id LIMIT 20",
     # Vectors and thresholds
     "cosine": "SELECT a, b, cos FROM sim ",
     "boundary_stats": "SELECT label_a = label_b AS verdict, count(*) AS n, round(avg(cos), 5) AS mean, round(median(cos), 5) AS median, round(stddev_samp(cos), 5) AS stdev, min(cos) AS low, max(cos) AS high FROM sim GROUP BY label_a = label_b",
@@ -94,22 +79,14 @@ SQL = {
     "threshold_quality": f"SELECT th, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 0 END, 6) AS prec, round(CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 0 END, 6) AS recall FROM ( {SWEEP} ) s",
     "threshold_best": f"SELECT th, round(2.0 * tp / CAST(2 * tp + fp + fn AS DOUBLE), 6) AS f1 FROM ( {SWEEP} ) s ORDER BY round(2.0 * tp / CAST(2 * tp + fp + fn AS DOUBLE), 6) DESC, th LIMIT 1",
     # Identity: one remap joined into every table that refers to it
-    "merge_roles": "SELECT concat(substring(role_id, 1, 2), 'x') AS keep_id, count(DISTINCT role_id) AS merged, count(*) AS reference_count FROM role GROUP BY substring(role_id, 1, 2)",
-    "merge_bridge": "SELECT DISTINCT article_id, substring(role_id, 1, 2) AS role_id FROM role ",
     "merge_relationships": f"SELECT least(x.new_id, y.new_id) AS a, greatest(x.new_id, y.new_id) AS b, CAST(count(*) AS BIGINT) AS weight FROM lineitem l JOIN lineitem k ON l.l_orderkey = k.l_orderkey AND l.l_partkey < k.l_partkey JOIN ( {REMAP} ) x ON l.l_partkey = x.old_id JOIN ( {REMAP} ) y ON k.l_partkey = y.old_id WHERE x.new_id <> y.new_id GROUP BY least(x.new_id, y.new_id), greatest(x.new_id, y.new_id)",
-    "merge_associations": f"SELECT DISTINCT e.a - e.a % 5 AS a, e.b FROM ( {EDGE} ) e",
-    "assoc_expand": f"SELECT DISTINCT y.a AS reached FROM ( {EDGE} ) x JOIN ( {EDGE} ) y ON x.b = y.b WHERE x.a = 1 UNION SELECT b AS reached FROM ( {EDGE} ) z WHERE z.a = 1",
-    "assoc_groups": f"SELECT min_a AS canonical, a AS id FROM (SELECT a, min(a) OVER (PARTITION BY b) AS min_a FROM ( {EDGE} ) e) g",
     # Sinks, sets, graph export
-    "upsert_merge": "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 2 = 1 UNION ALL SELECT c_custkey, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 2 = 0",
     "url_dedup": "SELECT p.page_id, p.url FROM pages p LEFT JOIN (SELECT url AS seen FROM pages WHERE page_id % 3 = 0) s ON p.url = s.seen WHERE s.seen IS NULL",
     "search_results": "SELECT page_id, url FROM (SELECT page_id, url, row_number() OVER (PARTITION BY url ORDER BY page_id) AS k FROM pages WHERE url LIKE 'http%') x WHERE k = 1",
     "feed_overlay": "SELECT coalesce(r.source_id, l.source_id) AS source_id, coalesce(r.feed, l.feed) AS feed FROM (SELECT 'reuters' AS source_id, 'http://a/1' AS feed UNION ALL SELECT 'npr', 'http://a/2') l FULL JOIN (SELECT 'npr' AS source_id, 'http://b/2' AS feed UNION ALL SELECT 'blog', 'http://b/3') r ON l.source_id = r.source_id",
-    "merge_dedup_obs": "SELECT o.id, coalesce(x.keep, o.a) AS a, coalesce(y.keep, o.b) AS b FROM (SELECT 1 AS id, 'k' AS a, 'r1' AS b UNION ALL SELECT 2, 'r2', 'z' UNION ALL SELECT 3, 'y', 'z') o LEFT JOIN (SELECT 'r1' AS old, 'k' AS keep UNION ALL SELECT 'r2', 'k') x ON o.a = x.old LEFT JOIN (SELECT 'r1' AS old, 'k' AS keep UNION ALL SELECT 'r2', 'k') y ON o.b = y.old",
     "seed_union": "SELECT url FROM pages UNION ALL SELECT 'http://example.com/' AS url",
     "graph_nodes": "SELECT concat('a', CAST(article_id AS STRING)) AS id, 'article' AS kind FROM article UNION ALL SELECT DISTINCT role_id AS id, 'role' AS kind FROM role UNION ALL SELECT DISTINCT source_id AS id, 'source' AS kind FROM article ",
     "graph_edges": "SELECT concat('a', CAST(article_id AS STRING)) AS src, role_id AS dst, 'child' AS kind FROM role UNION ALL SELECT concat('a', CAST(article_id AS STRING)) AS src, source_id AS dst, 'source' AS kind FROM article ",
-    "bfs_crawl": "SELECT s_suppkey AS node, 2 AS depth FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey WHERE n.n_regionkey = 0 UNION ALL SELECT n_nationkey AS node, 1 AS depth FROM nation WHERE n_regionkey = 0",
 }
 
 
@@ -118,5 +95,5 @@ def run(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(sql)
 
 
-QUERIES = {name: partial(run, sql) for name, sql in SQL.items()} | entries.QUERIES
-ORACLE_SQL = {name: oracle(sql) for name, sql in (SQL | entries.OVER_VIEWS).items()} | entries.PLAIN
+QUERIES = {name: partial(run, sql) for name, sql in SQL.items()} | entries.QUERIES | engine.QUERIES
+ORACLE_SQL = {name: oracle(sql) for name, sql in (SQL | entries.OVER_VIEWS | engine.OVER_VIEWS).items()} | entries.PLAIN | engine.PLAIN

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
-from newsloom.operators import boundary, lineage
+from newsloom.operators import boundary, keywords, lineage
 from newsloom.operators.graph import connected_components
 from newsloom.storage import fresh_path, table
 
@@ -112,7 +112,7 @@ def context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _near(spark: SparkSession, sf_dir: str, hours: int = HOURS, least: float = LEAST_COS) -> DataFrame:
     rows = boundary.dated(table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "events"))
-    return boundary.near_in_time(rows, hours).where(F.col("cos") >= least)
+    return boundary.near_in_time(rows, hours, least)
 
 
 def boundary_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +153,7 @@ def knn_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _labelled(spark: SparkSession, sf_dir: str, same: bool) -> DataFrame:
     """Pairs of narratives (x, y) that a pair label calls the same event, or not."""
-    pairs = _near(spark, sf_dir, 2, -1.0).where((F.col("label_a") == F.col("label_b")) == F.lit(same))
+    pairs = _near(spark, sf_dir, least=-2.0).where((F.col("label_a") == F.col("label_b")) == F.lit(same))
     pairs = pairs.where(F.col("cos") >= MERGE_COS) if same else pairs
     own = lineage.members(spark, sf_dir).select("article_id", "cluster_id")
     left, right = own.select(F.col("article_id").alias("a"), F.col("cluster_id").alias("x")), own.select(F.col("article_id").alias("b"), F.col("cluster_id").alias("y"))
@@ -182,15 +182,10 @@ def assoc_assert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("figment_id").agg(F.min_by("confidence", "k").alias("confidence"))
 
 
-def keyword_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of neighbouring words in English titles, the most frequent first."""
-    words = F.filter(F.regexp_extract_all(F.lower("title"), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(*STOP))
-    rows = lineage.articles(spark, sf_dir).where("lang = 'en'").select(words.alias("w")).where(F.size("w") >= 2)
-    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
-    return rows.select(F.explode(pairs).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gram").limit(30)
+def keyword_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keywords.phrases(lineage.articles(spark, sf_dir), 30)
 
 
-STOP = ("the", "and", "for", "that", "with", "from", "this")
 _LITERAL = {
     "author_meta": ("s", ("19 hours ago | NBC News", "World", None, "a | b | c", "|"), lambda s: T.author(s)),
     "video_embed": ("s", ("https://youtube.com/watch?v=ab-1", "https://youtu.be/x_y", "https://rumble.com/v12-a.html", "https://rumble.com/embed/v9", "https://a.b/c"), lambda s: T.video_embed(s)),
@@ -264,11 +259,13 @@ OVER_VIEWS = {
     "rank_frame": f"SELECT cluster_id, cos FROM ( {_SHIFT} ) ORDER BY cos, cluster_id LIMIT 20",
     "label_merge": f"WITH RECURSIVE c AS ( {_PAIRED} WHERE s.label_a = s.label_b AND s.cos >= 0.2), e AS (SELECT x, y FROM c WHERE x <> y UNION SELECT y, x FROM c WHERE x <> y), r AS (SELECT DISTINCT cluster_id AS p, cluster_id AS q FROM member UNION SELECT r.p, e.y FROM r JOIN e ON r.q = e.x), m AS (SELECT p, min(q) AS merged_id FROM r GROUP BY p) SELECT merged_id, count(*) AS n, count(DISTINCT cluster_id) AS n_merged, min(event_ts) AS first_seen FROM member JOIN m ON cluster_id = p GROUP BY merged_id",
     "label_split": f"SELECT article_id, CASE WHEN cluster_id IN (SELECT x FROM ( {_PAIRED} WHERE s.label_a <> s.label_b) WHERE x = y) THEN article_id ELSE cluster_id END AS cluster_id FROM member ",
-    "keyword_ngrams": "SELECT gram, count(*) AS n FROM (SELECT w[i] || ' ' || w[i + 1] AS gram FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT article_id, array_agg(t ORDER BY k) AS w FROM (SELECT article_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS k FROM (SELECT article_id, regexp_extract_all(lower(title), '[a-z]{3,}') AS ts FROM article WHERE lang = 'en')) WHERE t NOT IN "
-    + str(STOP) + " GROUP BY article_id))) GROUP BY gram ORDER BY 2 DESC, 1 LIMIT 30",
+    "keyword_ngrams": f"""SELECT gram, count(*) AS n FROM (SELECT unnest(list_concat(
+            list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS gram
+        FROM (SELECT list_filter(regexp_extract_all(lower(title), '[a-z]{{3,}}'), lambda t: t NOT IN {keywords.STOP_WORDS + keywords.URL_PIECES}) AS w FROM article ))
+        GROUP BY gram ORDER BY 2 DESC, 1 LIMIT 30""",
 }
 
 QUERIES = {f.__name__: f for f in (
     parse_time, search_date, feed_date_filter, page_extract, page_links, og_image, url_domain, html_escape, ingest_gate, ingest_file, normalize_entity, normalize_source, boilerplate,
-    context_paragraphs, context_text, boundary_pairs, boundary_clusters, frame_shift, rank_frame, knn, knn_trust, label_merge, label_split, assoc_assert,
-)} | {"keyword_ngrams": keyword_bigrams} | {name: _literal(name) for name in _LITERAL}
+    context_paragraphs, context_text, boundary_pairs, boundary_clusters, frame_shift, rank_frame, knn, knn_trust, label_merge, label_split, assoc_assert, keyword_ngrams,
+)} | {name: _literal(name) for name in _LITERAL}

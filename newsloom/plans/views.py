@@ -9,10 +9,10 @@ from newsloom.storage import table
 
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels")
 #: Pairs of vectors are reported on when their events are at most so far apart.
-SIM_HOURS = 2
+SIM_HOURS = 48
 
 
-def _trust(arts: DataFrame) -> DataFrame:
+def trust_of(arts: DataFrame) -> DataFrame:
     k = F.regexp_extract("source_id", "([0-9]+)$", 1).cast("int")
     return arts.select("source_id").distinct().select("source_id", (F.lit(0.5) + F.lit(0.02) * (k % 20)).alias("trust"))
 
@@ -35,7 +35,7 @@ def views(spark: SparkSession, sf_dir: str, sql: str) -> None:
         "pair": lambda: lineage.shared_pairs(lineage.roles(arts), arts.count()),
         "member": lambda: lineage.members(spark, sf_dir),
         "narr": lambda: lineage.narratives(lineage.members(spark, sf_dir)),
-        "trust": lambda: _trust(arts),
+        "trust": lambda: trust_of(arts),
         "token": lambda: _token(arts),
         "sim": lambda: _sim(spark, sf_dir),
         **{name: (lambda name=name: table(spark, sf_dir, name)) for name in RAW},
@@ -45,12 +45,19 @@ def views(spark: SparkSession, sf_dir: str, sql: str) -> None:
             make().createOrReplaceTempView(name)
 
 
+def norm_sql(text: str) -> str:
+    """The canonical form of an entity in DuckDB's SQL."""
+    out = f"regexp_replace(trim(lower({text})), '^({'|'.join(T.HONORIFICS)})\\.?\\s*', '')"
+    for pattern, by in (("''s\\b", ""), ("s''\\b", "s"), ("[^\\p{L}\\p{M}\\p{N}_\\s]", ""), ("\\s+", " ")):
+        out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
+    return f"trim({out})"
+
+
 _CTE = {
     "article": ((), r"""SELECT d.doc_id AS article_id, d.source AS source_id, d.lang, d.text, trim(regexp_split_to_array(d.text, '[.\n]')[1]) AS title,
         strftime(e.ts, '%Y-%m-%d %H:%M:%S') AS event_ts, CAST(floor(epoch(e.ts)) AS BIGINT) AS event_sec FROM documents d LEFT JOIN events e ON e.event_id = d.doc_id"""),
-    "role": (("article",), r"""SELECT DISTINCT article_id, norm, substr(sha256('role:what:' || norm), 1, 16) AS role_id FROM (
-        SELECT article_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(s)), '^(mr|mrs|ms|dr|prof|sen|rep|gov|gen|col|lt|cpt|maj|capt|sgt|ambassador|judge|attorney|sheriff|officer|detective)\.?\s*', ''),
-            '''s\b', '', 'g'), 's''\b', 's', 'g'), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) AS norm
+    "role": (("article",), rf"""SELECT DISTINCT article_id, norm, substr(sha256('role:what:' || norm), 1, 16) AS role_id FROM (
+        SELECT article_id, {norm_sql('s')} AS norm
         FROM (SELECT article_id, trim(unnest(regexp_split_to_array(text, '[.\n]+'))) AS s FROM article) WHERE length(s) >= 12) WHERE norm <> ''"""),
     "pair": (("role", "article"), """SELECT x.article_id AS a, y.article_id AS b, count(*) AS n FROM role x JOIN role y ON x.norm = y.norm AND x.article_id < y.article_id
         WHERE x.norm IN (SELECT norm FROM role GROUP BY norm HAVING count(*) <= greatest(5, (SELECT floor(0.2 * count(*)) FROM article))) GROUP BY 1, 2 HAVING count(*) >= 2"""),
@@ -65,7 +72,7 @@ _CTE = {
     "token": (("article",), r"SELECT article_id, term, count(*) AS tf FROM (SELECT article_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM article) GROUP BY 1, 2"),
     "dated": ((), "SELECT v.vec_id AS id, v.label, CAST(v.embedding AS DOUBLE[]) AS x, CAST(floor(epoch(e.ts)) AS BIGINT) AS sec FROM embeddings v JOIN events e ON v.vec_id = e.event_id"),
     "sim": (("dated",), """SELECT p.id AS a, q.id AS b, p.label AS label_a, q.label AS label_b, round(list_dot_product(p.x, q.x) / (sqrt(list_dot_product(p.x, p.x)) * sqrt(list_dot_product(q.x, q.x)) + 1e-10), 6) AS cos
-        FROM dated p JOIN dated q ON p.id < q.id AND abs(p.sec - q.sec) <= 7200"""),
+        FROM dated p JOIN dated q ON p.id < q.id AND abs(p.sec - q.sec) <= 172800"""),
 }
 
 

@@ -69,3 +69,52 @@ def discard(*frames: DataFrame | None) -> None:
     for frame in frames:
         if frame is not None and getattr(frame, "_written_to", None):
             remove(frame.sparkSession, frame._written_to)
+
+
+def _fs(spark: SparkSession, path: str) -> tuple:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _fs(spark, path)
+    return fs.exists(at)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    fs, at = _fs(spark, path)
+    return [s.getPath().toString() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def state(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """Length and time of the files behind some tables: what is kept by it is not used for other data."""
+    out = []
+    for name in names:
+        fs, at = _fs(spark, f"{sf_dir}/{name}.parquet")
+        out += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at)]
+    return tuple(sorted(out))
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text, or None where there is none."""
+    fs, at = _fs(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file beside ``path`` and rename it over: readers see the old text or the new one."""
+    context = spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        _fs(spark, path)[1].toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    fs, at = _fs(spark, f"{path}-{uuid.uuid4().hex}")
+    stream = fs.create(at, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    options = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(at, _fs(spark, path)[1], options)

@@ -1 +1 @@
-"""newsloom.streaming"""
+"""Continuous ingest, and windows over event time."""
