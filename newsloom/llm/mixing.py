@@ -123,7 +123,10 @@ def mix(docs: DataFrame, targets: dict | None = None, temperature: float = TEMPE
 
 def draw(docs: DataFrame, targets: dict | None = None, temperature: float = TEMPERATURE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The sampled documents, with their columns."""
-    cells = _calibrated(docs, text_col, targets, temperature).select(*[F.col(d).alias(f"_cell_{d}") for d in DIMS], F.col("probability").alias("_cell_p"))
-    rows = docs.withColumns({f"_own_{d}": c for d, c in _dims(docs, text_col).items()})
-    same = [F.col(f"_own_{d}") == F.col(f"_cell_{d}") for d in DIMS]
-    return rows.join(cells, same).where(uniform(id_col) < F.col("_cell_p")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = "_mix"
+    while any(c.lower().startswith(own) for c in docs.columns):  # columns of the input keep their names
+        own += "_"
+    cells = _calibrated(docs, text_col, targets, temperature).select(*[F.col(d).alias(f"{own}_cell_{d}") for d in DIMS], F.col("probability").alias(f"{own}_p"))
+    rows = docs.withColumns({f"{own}_{d}": c for d, c in _dims(docs, text_col).items()})
+    same = [F.col(f"{own}_{d}") == F.col(f"{own}_cell_{d}") for d in DIMS]
+    return rows.join(cells, same).where(uniform(id_col) < F.col(f"{own}_p")).select(*[F.col(f"`{c}`") for c in docs.columns])
