@@ -64,8 +64,8 @@ class News:
         return context.materialize_context(self.member, self.articles, self.base, chosen, most_articles, most_paragraphs)
 
     def search(self, query: str = "", range_name: str = "all", page: int = 1, limit: int = 20, today: str = "") -> search.Page:
-        postings = search.index(self.articles.select("article_id", "title", "text", F.col("event_ts").alias("published")), ("title", "text"))
-        return search.search(postings, search.catalogue(postings), query, range_name, page, limit, today)
+        postings = search.index(self.articles.select("article_id", "title", "text", F.col("event_ts").alias("published")), ("title", "text"), stemmed=True)
+        return search.search(postings, search.catalogue(postings), query, range_name, page, limit, today, stemmed=True)
 
     def query(self, prompt: str, embed: Callable[[str], list[float]], k: int = 8, min_trust: float = 0.0) -> DataFrame:
         """``(article_id, source_id, cos)`` of the nearest articles; trust is asked for after the k are chosen, so fewer may come."""

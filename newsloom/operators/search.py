@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.functions.stem import stem, stems
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Letters with marks and the plain ones that stand for them (fixed values).
 MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
@@ -28,11 +30,12 @@ def parse(query: str) -> list[list[str]]:
     return [p for p in dict.fromkeys(tuple(terms(w)) for w in words) if p]
 
 
-def index(articles: DataFrame, columns: tuple[str, ...] = ("title", "text"), text_limit: int | None = None) -> DataFrame:
+def index(articles: DataFrame, columns: tuple[str, ...] = ("title", "text"), text_limit: int | None = None, stemmed: bool = False) -> DataFrame:
     """``(article_id, published, length, term, at)``: a row for each word and place, of the newest row of an article.
 
     ``published`` orders the rows of one article. Whole texts are indexed unless ``text_limit`` (characters) is given.
-    Words of all columns share one numbering, with a gap between columns.
+    Words of all columns share one numbering, with a gap between columns. A ``stemmed`` index holds their stems; queries
+    of it must say so too.
     """
     newest = articles.groupBy("article_id").agg(F.max_by(F.struct(*articles.columns), "published").alias("r")).select("r.*")
     given = {c: F.coalesce(F.col(c), F.lit("")) for c in columns}
@@ -40,7 +43,7 @@ def index(articles: DataFrame, columns: tuple[str, ...] = ("title", "text"), tex
         given["text"] = F.substring(given["text"], 1, text_limit)
     body = F.concat_ws(" \u0001 ", *[fold(F.translate(x, "\u0001", " ")) for x in given.values()])
     words = F.regexp_extract_all(body, F.lit(r"[\p{L}\p{N}]+|\x01"), F.lit(0))
-    rows = newest.select("article_id", "published", words.alias("words"))
+    rows = newest.select("article_id", "published", (stems(words) if stemmed else words).alias("words"))
     rows = rows.withColumn("length", (F.size("words") - F.size(F.filter("words", lambda w: w == "\u0001"))).cast("long"))
     return rows.select("article_id", "published", "length", F.posexplode("words").alias("at", "term")).where("term <> '\u0001'")
 
@@ -63,12 +66,12 @@ class Page:
     total_pages: int
 
 
-def scores(postings: DataFrame, documents: DataFrame, query: str) -> DataFrame:
+def scores(postings: DataFrame, documents: DataFrame, query: str, stemmed: bool = False) -> DataFrame:
     """``(article_id, score)`` of the articles that hold any phrase; the lower the better, as in SQLite's FTS5.
 
     Only the postings of the query's terms are read. ``documents`` is (article_id, length), one row an article.
     """
-    asked = parse(query)
+    asked = list(dict.fromkeys(tuple(map(stem, p)) if stemmed else p for p in parse(query)))
     size = documents.agg(F.count("*").cast("double").alias("n_all"), F.avg("length").alias("mean"))
     wanted = sorted({t for p in asked for t in p})
     rows = postings.where(F.col("term").isin(*wanted) if wanted else F.lit(False)).select("article_id", "term", "at")
@@ -94,11 +97,11 @@ def scores(postings: DataFrame, documents: DataFrame, query: str) -> DataFrame:
     return rows.groupBy("article_id").agg(F.round(-F.sum(part), 6).alias("score"))
 
 
-def search(postings: DataFrame, documents: DataFrame, query: str = "", range_name: str = "all", page: int = 1, limit: int = 20, today: str = "") -> Page:
+def search(postings: DataFrame, documents: DataFrame, query: str = "", range_name: str = "all", page: int = 1, limit: int = 20, today: str = "", stemmed: bool = False) -> Page:
     """One page: by rank where there is a query, else by date; ``documents`` is (article_id, published, length)."""
     own = documents.where(in_range(range_name, F.col("published"), today))
     if query.strip():
-        ranked = own.join(scores(postings, documents.select("article_id", "length"), query), "article_id").select("article_id", "published", "score")
+        ranked = own.join(scores(postings, documents.select("article_id", "length"), query, stemmed), "article_id").select("article_id", "published", "score")
         order = [F.col("score"), F.col("article_id")]
     else:
         ranked = own.select("article_id", "published", F.lit(None).cast("double").alias("score"))

@@ -3,12 +3,13 @@
 import difflib
 import json
 import random
+import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
 from newsloom.api import News
-from newsloom.functions import recover
+from newsloom.functions import recover, stem
 from newsloom.operators import context, crawl, identity, intersection, keywords, lineage, search, trust
 from newsloom.sources import feeds, registry
 from newsloom.storage import fresh_path
@@ -245,6 +246,39 @@ def test_search(spark):
     assert (found.total, found.total_pages) == (4, 2) and search.search(postings, docs, "nothing").total_pages == 0
 
 
+def _fts5(rows, columns):
+    con = sqlite3.connect(":memory:")
+    con.execute(f"CREATE VIRTUAL TABLE t USING fts5({columns}, tokenize='porter unicode61')")
+    con.executemany(f"INSERT INTO t(rowid, {columns}) VALUES ({', '.join('?' * len(rows[0]))})", rows)
+    return con
+
+
+def test_stems_equal_sqlite(spark):
+    rnd = random.Random(3)
+    ends = [*stem.SECOND, *stem.THIRD, *stem.FOURTH, "s", "ies", "sses", "ed", "eed", "ing", "y", "e", "ll", ""]
+    words = {"".join(rnd.choices("aeiouybcdlstzxwrgn", k=rnd.randrange(6))) + rnd.choice(ends) + rnd.choice([*ends, *[""] * 30]) for _ in range(20000)}
+    words = sorted(words - {""}) + ["caresses", "ponies", "relational", "hopping", "sky", "is", "x" * 63 + "s", "x" * 64 + "s", "новости"]
+    con = _fts5(list(enumerate(words)), "x")
+    con.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, instance)")
+    want = dict(con.execute("SELECT doc, term FROM v"))
+    assert [stem.stem(w) for w in words] == [want[k] for k in range(len(words))]
+    arrays = spark.createDataFrame([(["running", None, ""],), ([],), (None,)], "w array<string>").select(stem.stems(F.col("w")).alias("s"))
+    assert [r.s for r in arrays.collect()] == [["run", None, ""], [], None]
+
+
+def test_stemmed_search_equals_sqlite(spark):
+    rnd = random.Random(5)
+    bag = "storm storms storming warned warning warnings report reported reporter river rivers flooding flooded city cities".split()
+    rows = [(k, " ".join(rnd.choices(bag, k=4)), " ".join(rnd.choices(bag + ["calm", "quiet", "plain"] * 9, k=rnd.randrange(1, 30)))) for k in range(80)]
+    con = _fts5(rows, "title, text")
+    postings = search.index(spark.createDataFrame(rows, "article_id long, title string, text string").withColumn("published", F.lit("2024-01-01")), stemmed=True)
+    docs = search.catalogue(postings)
+    for query, match in (("cities", '"cities"'), ("flooded reporting", '"flooded" OR "reporting"'), ("storms-warning", '"storms-warning"')):
+        want = dict(con.execute("SELECT rowid, rank FROM t WHERE t MATCH ?", (match,)))
+        got = {r.article_id: r.score for r in search.scores(postings, docs.select("article_id", "length"), query, True).collect()}
+        assert want and got == pytest.approx(want, abs=2e-6)
+
+
 def test_phrases(spark):
     titles = spark.createDataFrame([("Ocean Storm Warning!",), ("ocean storm",), ("The www",), (None,)], "title string")
     assert [(r.gram, r.n) for r in keywords.phrases(titles, 9).collect()] == [("ocean storm", 2), ("ocean storm warning", 1), ("storm warning", 1)]
