@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators import boundary, context, intersection, lineage, search, trust
-from newsloom.storage import fresh_path, table
+from newsloom.storage import fresh_path, state, table
 from newsloom.versioned import VersionedTable, rebuild
 
 FRAME = 0.85
@@ -31,7 +31,8 @@ class News:
     def __init__(self, spark: SparkSession, sf_dir: str, base_trust: DataFrame, now_sec: int, store: str | None = None):
         self.spark, self.sf_dir, self.base, self.now = spark, sf_dir, base_trust, now_sec
         self.articles = lineage.articles(spark, sf_dir)
-        self.roles = lineage.roles(self.articles)
+        self.roles = lineage.roles(lineage.texts(spark, sf_dir))
+        self._index: tuple | None = None
         self.store = store or fresh_path(spark, "store")
 
     @property
@@ -64,8 +65,16 @@ class News:
         return context.materialize_context(self.member, self.articles, self.base, chosen, most_articles, most_paragraphs)
 
     def search(self, query: str = "", range_name: str = "all", page: int = 1, limit: int = 20, today: str = "") -> search.Page:
-        postings = search.index(self.articles.select("article_id", "title", "text", F.col("event_ts").alias("published")), ("title", "text"), stemmed=True)
-        return search.search(postings, search.catalogue(postings), query, range_name, page, limit, today, stemmed=True)
+        postings, documents = self._indexed()
+        return search.search(postings, documents, query, range_name, page, limit, today, stemmed=True)
+
+    def _indexed(self) -> tuple[DataFrame, DataFrame]:
+        """The search index, written once for each state of the input files."""
+        now = state(self.spark, self.sf_dir, "documents", "events")
+        if self._index is None or self._index[0] != now:
+            rows = self.articles.select("article_id", "title", "text", F.col("event_ts").alias("published"))
+            self._index = (now, search.stored(rows, ("title", "text"), stemmed=True))
+        return self._index[1]
 
     def query(self, prompt: str, embed: Callable[[str], list[float]], k: int = 8, min_trust: float = 0.0) -> DataFrame:
         """``(article_id, source_id, cos)`` of the nearest articles; trust is asked for after the k are chosen, so fewer may come."""

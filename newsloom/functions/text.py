@@ -17,10 +17,9 @@ def normalize(text: Column) -> Column:
     """Canonical form of an entity: lower case, one honorific dropped, possessives and punctuation removed."""
     out = F.trim(F.lower(text))
     out = F.regexp_replace(out, rf"^(?:{'|'.join(HONORIFICS)})\.?\s*", "")
-    out = F.regexp_replace(out, r"(?U)'s\b", "")
-    out = F.regexp_replace(out, r"(?U)s'\b", "s")
-    out = F.regexp_replace(out, r"(?U)[^\w\s]", "")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    out = F.when(F.contains(out, F.lit("'s")), F.regexp_replace(out, r"(?U)'s\b", "")).otherwise(out)
+    out = F.regexp_replace(out, r"(?U)[^a-z0-9 \w\s]+", "")  # also what is left of s'; the plain letters come first, as the quick test
+    return F.trim(F.regexp_replace(out, r"\s{2,}|[\s&&[^ ]]", " "))
 
 
 def role_id(role: Column, normalized: Column) -> Column:

@@ -8,6 +8,8 @@ from newsloom.operators.graph import connected_components
 from newsloom.storage import materialize, state, table
 
 MIN_SHARED, DF_SHARE, DF_LEAST, MIN_SENTENCE = 2, 0.2, 5, 12
+#: So many links are a few megabytes: one task joins them faster than rounds over tables would.
+SMALL = 250_000
 _MEMBERS: dict[tuple, DataFrame] = {}
 
 
@@ -20,9 +22,19 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(when, "article_id", "left")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(article_id, text)`` of the articles: what roles need of them."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), "text")
+
+
 def roles(arts: DataFrame) -> DataFrame:
-    """``(article_id, norm, role_id)``: the distinct normalised sentences of each article as its roles."""
-    rows = arts.select("article_id", F.explode(F.split("text", r"[.\n]+")).alias("s")).select("article_id", F.trim("s").alias("s")).where(F.length("s") >= MIN_SENTENCE).select("article_id", T.normalize(F.col("s")).alias("norm"))
+    """``(article_id, norm, role_id)``: the distinct normalised sentences of each article as its roles.
+
+    Texts are dealt by article before they are cut, so a scan of few splits does not hold the work up, and the distinct
+    rows need no shuffle of their own.
+    """
+    rows = arts.select("article_id", "text").repartition("article_id").select("article_id", F.explode(F.split("text", r"[.\n]+")).alias("s"))
+    rows = rows.select("article_id", F.trim("s").alias("s")).where(F.length("s") >= MIN_SENTENCE).select("article_id", T.normalize(F.col("s")).alias("norm"))
     rows = rows.where("norm <> ''").distinct()
     return rows.withColumn("role_id", T.role_id(F.lit("what"), F.col("norm")))
 
@@ -68,8 +80,8 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, state(spark, sf_dir, "documents", "events"))
     if key not in _MEMBERS:
         arts = articles(spark, sf_dir)
-        own = materialize(roles(arts).select("article_id", "norm"), "roles", free=False)
-        label = connected_components(linked(own, arts.count())).select(F.col("node").alias("article_id"), F.col("component").alias("cluster_id"))
+        own = materialize(roles(texts(spark, sf_dir)).select("article_id", "norm"), "roles", free=False)
+        label = connected_components(linked(own, table(spark, sf_dir, "documents").count()), small=SMALL).select(F.col("node").alias("article_id"), F.col("component").alias("cluster_id"))
         rows = arts.drop("text", "lang").join(label, "article_id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "article_id"))
         order = Window.partitionBy("cluster_id").orderBy(F.col("event_sec").asc_nulls_last(), "article_id")
         _MEMBERS[key] = materialize(rows.withColumn("rn", F.row_number().over(order).cast("long")), "members")

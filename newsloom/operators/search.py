@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.stem import stem, stems
+from newsloom.storage import materialize
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Letters with marks and the plain ones that stand for them (fixed values).
@@ -30,8 +31,8 @@ def parse(query: str) -> list[list[str]]:
     return [p for p in dict.fromkeys(tuple(terms(w)) for w in words) if p]
 
 
-def index(articles: DataFrame, columns: tuple[str, ...] = ("title", "text"), text_limit: int | None = None, stemmed: bool = False) -> DataFrame:
-    """``(article_id, published, length, term, at)``: a row for each word and place, of the newest row of an article.
+def entries(articles: DataFrame, columns: tuple[str, ...] = ("title", "text"), text_limit: int | None = None, stemmed: bool = False) -> DataFrame:
+    """``(article_id, published, length, words)``: one row an article, its newest, with its words in order.
 
     ``published`` orders the rows of one article. Whole texts are indexed unless ``text_limit`` (characters) is given.
     Words of all columns share one numbering, with a gap between columns. A ``stemmed`` index holds their stems; queries
@@ -44,10 +45,26 @@ def index(articles: DataFrame, columns: tuple[str, ...] = ("title", "text"), tex
     body = F.concat_ws(" \u0001 ", *[fold(F.translate(x, "\u0001", " ")) for x in given.values()])
     words = F.regexp_extract_all(body, F.lit(r"[\p{L}\p{N}]+|\x01"), F.lit(0))
     rows = newest.select("article_id", "published", (stems(words) if stemmed else words).alias("words"))
-    rows = rows.withColumn("length", (F.size("words") - F.size(F.filter("words", lambda w: w == "\u0001"))).cast("long"))
+    length = (F.size("words") - F.size(F.filter("words", lambda w: w == "\u0001"))).cast("long")
+    return rows.select("article_id", "published", length.alias("length"), "words")
+
+
+def postings_of(rows: DataFrame) -> DataFrame:
+    """``(article_id, published, length, term, at)``: a row for each word and place of ``entries``."""
     return rows.select("article_id", "published", "length", F.posexplode("words").alias("at", "term")).where("term <> '\u0001'")
 
 
+def index(articles: DataFrame, columns: tuple[str, ...] = ("title", "text"), text_limit: int | None = None, stemmed: bool = False) -> DataFrame:
+    """The postings of the articles' ``entries``, as one lazy plan."""
+    return postings_of(entries(articles, columns, text_limit, stemmed))
+
+
+def stored(articles: DataFrame, columns: tuple[str, ...] = ("title", "text"), text_limit: int | None = None, stemmed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Postings and the articles that have a word, both read from ``entries`` written once: texts are cut into words once."""
+    rows = materialize(entries(articles, columns, text_limit, stemmed), "fts", free=False)
+    return postings_of(rows), rows.where("length > 0").select("article_id", "published", "length")
+
+
 def in_range(name: str, published: Column, today: str) -> Column:
     """Whether a date text (``yyyy-mm-dd...``) lies in a named range before ``today``; an unknown name means all."""
     day = F.to_date(F.lit(today))

@@ -35,7 +35,7 @@ def _narrative_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
 
 
 def role_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    role = lineage.roles(lineage.articles(spark, sf_dir))
+    role = lineage.roles(lineage.texts(spark, sf_dir))
     return intersection.match_roles(role, _texts(role)).orderBy(F.desc("score"), "spec", "norm")
 
 
@@ -90,7 +90,7 @@ def _remap(rows: DataFrame) -> DataFrame:
 
 
 def merge_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    role = lineage.roles(lineage.articles(spark, sf_dir))
+    role = lineage.roles(lineage.texts(spark, sf_dir))
     rows = role.groupBy("role_id").agg(F.min("norm").alias("text"), F.array_sort(F.collect_set("article_id")).alias("references"))
     rows = rows.withColumn("merged_from", F.array().cast("array<string>"))
     out = identity.merge_roles(rows, identity.resolve(_remap(role), role))
@@ -98,7 +98,7 @@ def merge_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    role = lineage.roles(lineage.articles(spark, sf_dir))
+    role = lineage.roles(lineage.texts(spark, sf_dir))
     lists = role.groupBy("article_id").agg(F.array_sort(F.collect_list("role_id")).alias("role_figments"))
     out = identity.merge_lists(lists, "article_id", "role_figments", identity.resolve(_remap(role), role))
     return out.select("article_id", F.array_join("role_figments", ",").alias("role_figments"))
@@ -273,8 +273,7 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Search
 def _postings(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> tuple[DataFrame, DataFrame]:
     arts = lineage.articles(spark, sf_dir).select("article_id", "text", F.col("event_ts").alias("published"))
-    postings = search.index(arts, ("text",), stemmed=stemmed)
-    return postings, search.catalogue(postings)
+    return search.stored(arts, ("text",), stemmed=stemmed)
 
 
 def fts_search(spark: SparkSession, sf_dir: str) -> DataFrame:

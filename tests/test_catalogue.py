@@ -74,3 +74,8 @@ def test_components_equal_union_find(spark):
     got = {r.node: r.component for r in connected_components(df).collect()}
     assert got == {x: find(x) for x in root}
     assert connected_components(df.limit(0)).count() == 0
+    assert {r.node: r.component for r in connected_components(df, small=10_000).collect()} == got
+    assert connected_components(df.limit(0), small=10_000).count() == 0
+    names = df.selectExpr("concat('n', a) AS a", "concat('n', b) AS b")
+    rounds, task = ({r.node: r.component for r in connected_components(names, small=n).collect()} for n in (0, 10_000))
+    assert rounds == task and len(task) == len(root)

@@ -239,6 +239,9 @@ def test_search(spark):
     rows = [(1, "2024-01-01", "Été", "the north-west wind and rain"), (2, "2024-01-02", "x", "west north rain rain"), (3, "2024-01-03", "y", "sun"), (3, "2024-01-02", "old", "rain"), (4, "2024-01-04", "z", "wind sun sun"), (5, "2024-01-04", "u", "fog")]
     postings = search.index(spark.createDataFrame(rows, "article_id long, published string, title string, text string"))
     docs = search.catalogue(postings)
+    kept, kept_docs = search.stored(spark.createDataFrame(rows, "article_id long, published string, title string, text string"))
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, postings.collect()))
+    assert sorted(map(tuple, kept_docs.collect())) == sorted(map(tuple, docs.collect()))
     ids = lambda *a, **k: [r.article_id for r in search.search(postings, docs, *a, **k).hits.collect()]
     assert ids("rain") == [2, 1] and ids("north-west") == [1] and ids("ete") == [1] and ids("ÉTÉ zz") == [1] and ids("!! ??") == []
     assert ids("") == [4, 5, 3, 2, 1] and ids("", page=2, limit=2) == [3, 2] and ids("sun", range_name="yesterday", today="2024-01-04") == [3]
