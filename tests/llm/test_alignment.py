@@ -96,6 +96,7 @@ def test_odd_texts(spark, tools):
         None, "", " ", "  ", "\n", "a", "Hello world", " Hello  world ", "<|endoftext|> and <s></s><unk>", "▁ is a piece", "nul\0byte", "é ñ ü ß 漢字 かな 🙂👩‍👩‍👧",
         "tab\tand\r\nlines\n\n\n", "aaaa" * 3000, "1234567890" * 300, "x" * 5000 + " " + "y" * 5000, "Zürich naïve café", "\u2028\u00a0\u3000 spaces", "ab" * 4000 + "ba" * 4000,
         "Hello world", "antidisestablishmentarianism " * 50, "\ufeffmark", "e\u0301 combined", "ﬁ ligature",
+        "a  b", "a \nb", "a\n b", "a\x1c b \x1cc", " lead", "trail ", "a \u00a0 b", "x\u2003 y", "it's 's we 've  'll", "1 2  3   4", "a\t b\n \nc \n d", "a ▁ b", "…  — – ' ' ''",
     ]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "Hello world"), (3, "again"), (3, "again")]
     assert aligned(spark, rows) == brute(rows, tools)
@@ -112,11 +113,15 @@ def test_chunks_and_steps_do_not_matter(spark, sf, monkeypatch):
     monkeypatch.setattr(alignment, "CHUNK_BYTES", 3000)
     monkeypatch.setattr(alignment, "STEP_BYTES", 1000)
     monkeypatch.setattr(alignment, "LARGE", 3)
+    monkeypatch.setattr(alignment, "COUNTED", 50)
     assert sorted(map(tuple, alignment.align(docs, *FILES).collect())) == want
+    for r in alignment.align(docs, *FILES, with_groups=True).collect():
+        assert r.groups_sha256 == (hashlib.sha256(r.groups.encode()).hexdigest() if r.groups else "")
 
 
 def test_empty_extra_columns_and_pairs(spark, tools):
     assert aligned(spark, []) == []
+    assert aligned(spark, [(1, None), (2, ""), (3, "▁")]) == brute([(1, None), (2, ""), (3, "▁")], tools)
     rows = [(1, "some words here"), (2, "some words there"), (3, None)]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, chunk string, pair int")
     assert sorted(map(tuple, alignment.align(df, *FILES).collect()), key=str) == brute(rows, tools)
