@@ -2,10 +2,11 @@
 
 A suffix sort of all positions would move more than ten times the input. Of each 50-byte window only the suffix at its
 anchor is sampled: the 20-byte string in it with the smallest hash. Equal windows have equal anchors at equal places,
-so nothing is lost, and about one position in sixteen is sampled. Prefix polynomial hashes give the hash of any
+so none is lost, and about one position in sixteen is sampled. Prefix polynomial hashes give the hash of any
 substring in constant time. Suffixes are compared by them: first the anchors; then, at anchors that several documents
 share, the whole common extension that matters (30 bytes to the left, 50 to the right); and where only part of that
-extension agrees, each 50-byte window in it. A second hash with another base verifies every match.
+extension agrees, each 50-byte window in it. A second hash with another base
+verifies every match: a removal rests on 80 bits, not on the bytes themselves.
 
 ``chunks`` does the exchange. A hot passage is one entry for each chunk of documents, wherever it stands.
 """
@@ -103,7 +104,8 @@ class _Sampled:
             self.check = np.empty(0, np.uint32)
             return
         first, second = (_Hashes(self.data, which) for which in (0, 1))
-        key = (first.all(ANCHOR) >> np.uint64(32)).astype(np.uint32)  # the upper half depends on every byte
+        # The upper half depends on every byte. No key is 0, which marks windows that are none.
+        key = np.maximum((first.all(ANCHOR) >> np.uint64(32)).astype(np.uint32), 1)
         least = _slide(key, WINDOWS, np.minimum)  # for each window by its start
         for i, (low, high) in enumerate(zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True)):
             least[max(low, high - SPAN + 1) if real[i] else low : high] = 0  # windows of two documents, or of no document

@@ -4,11 +4,12 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from newsloom.llm import exact_dedup, simhash
-from newsloom.storage import table
+from newsloom.storage import children, fresh_path, table
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -50,6 +51,40 @@ def test_index_persists_over_batches(spark):
     assert got == {4: (2, False), 5: (6, False), 6: (6, True)} and index.read().count() == 3
 
 
+def test_index_outlives_its_session(spark, sf):
+    """The second session knows the folder alone; both batches together give the answer of all rows at once."""
+    docs = table(spark, sf, "documents")
+    path, name = fresh_path(spark, "index"), "newsloom_kept"
+    want = sorted(map(tuple, exact_dedup.deduplicate(docs).where("kept").collect()))
+    late, early = docs.where("doc_id >= 120"), docs.where("doc_id < 120")
+    first = exact_dedup.DigestIndex(spark, name, path, buckets=3)
+    kept = exact_dedup.deduplicate(late, index=first).where("kept").select("doc_id", "text_sha256").collect()
+    files = sorted(children(spark, path))
+    spark.sql(f"DROP TABLE {name}")  # what ends with a session: its catalogue
+    second = exact_dedup.DigestIndex(spark, name, path, buckets=7)
+    assert second.buckets == 3 and sorted(children(spark, path)) == files and second.read().count() == len(kept)
+    joined = second.unseen(exact_dedup.group_digests(exact_dedup.digests(early)))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in joined and "Bucketed: true" in joined
+    kept += exact_dedup.deduplicate(early, index=second).where("kept").select("doc_id", "text_sha256").collect()
+    assert sorted((r.doc_id, r.text_sha256) for r in kept) == [(w[0], w[4]) for w in want]
+    assert not any(r.kept for r in exact_dedup.deduplicate(docs, index=second).collect())
+    third = exact_dedup.DigestIndex(spark, "newsloom_other_name", path)
+    assert third.read().count() == second.read().count()
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, name, fresh_path(spark, "elsewhere"))
+    second.drop()
+
+
+def test_batches_fall_by_id(spark):
+    rows = spark.createDataFrame([(i,) for i in (5, None, -3, 9, 9, 0, 1)], "doc_id long")
+    for parts in (1, 2, 3, 50):
+        got = [[r.doc_id for r in p.collect()] for p in exact_dedup.falling(rows, parts)]
+        flat = [min(x, key=lambda v: -99 if v is None else v) for x in got if x]
+        assert sorted(sum(got, []), key=str) == sorted([5, None, -3, 9, 9, 0, 1], key=str)
+        assert flat == sorted(flat, key=lambda v: 99 if v is None else -v)
+    assert len(exact_dedup.falling(rows.limit(0), 2)) == 1
+
+
 def test_append_is_an_anti_join_and_may_be_repeated(spark):
     index = exact_dedup.DigestIndex(spark, buckets=3)
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "A")], "doc_id long, text string")

@@ -137,6 +137,18 @@ def test_substring_edges(spark):
     assert kept[2] == shared.encode() and hashlib.sha256(kept[5]).hexdigest() == next(r[4] for r in got if r[0] == 5)
 
 
+def test_substrings_whose_key_is_zero(spark):
+    """The anchor in the middle of the shared 50 bytes hashes to a key of 0, the smallest there is."""
+    anchor = b"ugaukcwfjtvwppyk"
+    key = substring_dedup._Hashes(np.frombuffer(anchor, np.uint8), 0).all(16) >> np.uint64(32)
+    assert key[0] == 0
+    shared = "abcdefghijklmnopq" + anchor.decode() + "rstuvwxyzABCDEFGH"
+    rows = [(1, "one: " + shared + " first"), (2, "two; " + shared + " second"), (3, anchor.decode() * 9), (4, "x" + anchor.decode() * 7)]
+    got = sorted(tuple(r) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(_plain_removed(rows))
+    assert {r[0]: r[2] for r in got}[2] >= 50
+
+
 def test_blocks_round_trip():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))
     columns = {"a": np.arange(len(keys), dtype=np.int64), "b": (np.arange(len(keys)) % 7).astype(np.uint8)}
