@@ -4,41 +4,80 @@ A merge is a DataFrame ``(old_id, new_id)``. ``resolve`` drops the entries that
 to roles is rewritten by a left join with it, so that a merge that is repeated changes nothing.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.operators.boundary import near_in_time
 from newsloom.operators.graph import connected_components
 
-OVERLAP, EDIT, TOGETHER = 0.5, 0.85, 3
+OVERLAP, EDIT, TOGETHER, COSINE = 0.5, 0.85, 3, 0.9
+#: Percent of the longer text that may be edited, and the letters of one of its pieces.
+EDITS, PIECE = 15, 3
+
+
+def _rarest(rows: DataFrame, items: Column, needed: Callable[[Column], Column]) -> DataFrame:
+    """``(id, role, key)``: of each row's items the rarest in its role, as many as ``needed`` says of their number."""
+    each = rows.select("id", "role", F.explode(items).alias("key"))
+    df = each.groupBy("role", "key").agg(F.count("*").alias("df"))
+    sorted_keys = F.array_sort(F.collect_list(F.struct("df", "key")))
+    ranked = each.join(df, ["role", "key"]).groupBy("id", "role").agg(F.transform(sorted_keys, lambda x: x["key"]).alias("keys"))
+    return ranked.select("id", "role", F.explode(F.slice("keys", F.lit(1), needed(F.size("keys")))).alias("key"))
+
 
+def _pieces(text: Column) -> Column:
+    """All runs of three letters of a text with its ends marked, each with the number of its occurrence."""
+    marked = F.concat(F.lit("\x02\x02"), text, F.lit("\x03\x03"))
+    runs = F.transform(F.sequence(F.lit(1), F.length(marked) - (PIECE - 1)), lambda i: F.substr(marked, i, F.lit(PIECE)))
+    sorted_runs = F.array_sort(runs)
+    return F.transform(sorted_runs, lambda x, i: F.concat(x, (i - F.array_position(sorted_runs, x)).cast("string")))
 
-def propose(roles: DataFrame, together: DataFrame | None = None) -> DataFrame:
+
+def _met(keyed: DataFrame) -> DataFrame:
+    left, right = keyed.select("role", "key", F.col("id").alias("a")), keyed.select("role", "key", F.col("id").alias("b"))
+    return left.join(right, ["role", "key"]).where("a < b").select("a", "b").distinct()
+
+
+def propose(roles: DataFrame, together: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """``(a, b, role, overlap, edit, seen_together)``: pairs of one role, a < b, that may be the same.
 
-    Of ``roles`` (id, role, norm). A pair shares half the words of the longer text, or is 0.85 alike by edit distance.
-    Candidates meet under a word or under their first four letters; of a text's words only its rarest are needed, since
-    half of them must be shared, so a word that many texts have seldom brings them together. ``together`` (a, b, n)
-    counts common articles: three or more make a pair that shares any word.
+    Of ``roles`` (id, role, norm), an id being one row; blank norms are none. A pair shares half the words of the longer
+    text, or is 0.85 alike by edit distance, or - ``together`` (a, b, n) counts common articles - shares any word and was
+    seen in three or more, or has vectors (``vectors``: id, x) with a cosine of 0.9 or more, which then is a column too.
+
+    No such pair is lost. Half of the words shared means that one of a text's rarest words is, all but half of them and
+    one. Edits of 15 percent of the longer text change three pieces of three letters each, so two texts that near share
+    one of the rarest pieces, three for each edit and three more. Pairs seen together are looked at as they are, and
+    vectors meet in blocks.
     """
     rows = roles.select("id", "role", "norm", F.array_distinct(F.split("norm", " ")).alias("words")).where("norm <> ''")
-    each = rows.select("id", "role", F.explode("words").alias("word"))
-    df = each.groupBy("role", "word").agg(F.count("*").alias("df"))
-    ranked = each.join(df, ["role", "word"]).groupBy("id", "role").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("rare"))
-    rows = rows.join(ranked, ["id", "role"])
-    # All but (half of them, rounded up) plus one: any two texts that share half their words share one of these.
-    needed = F.size("rare") - F.ceil(F.size("rare") * OVERLAP).cast("int") + 1
-    keys = F.array_union(F.slice("rare", F.lit(1), needed), F.array(F.concat(F.lit("\t"), F.substring("norm", 1, 4))))
-    keyed = rows.select("id", "role", "norm", "words", F.explode(keys).alias("key"))
-    side = lambda s: keyed.select("role", "key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "norm", "words")])
-    pairs = side("a").join(side("b"), ["role", "key"]).where("id_a < id_b").drop("key").dropDuplicates(["id_a", "id_b"])
+    by_word = _rarest(rows, F.col("words"), lambda n: n - F.ceil(n * OVERLAP).cast("int") + 1)
+    # A partner that is one letter longer may take one edit more: three pieces for it, less the letter's own.
+    by_piece = _rarest(rows, _pieces(F.col("norm")), lambda n: (F.lit(PIECE) * F.floor((n - 2) * EDITS / 100) + PIECE).cast("int"))
+    pairs = _met(by_word).unionByName(_met(by_piece))
+    if together is not None:
+        pairs = pairs.unionByName(together.where(F.col("n") >= TOGETHER).select("a", "b"))
+    near = None
+    if vectors is not None:
+        at_once = vectors.select("id", F.lit(0).alias("label"), F.lit(0).cast("long").alias("sec"), "x")
+        near = near_in_time(at_once, 1, COSINE).select("a", "b", F.col("cos").alias("cosine"))
+        pairs = pairs.unionByName(near.select("a", "b"))
+    side = lambda s: rows.select(F.col("id").alias(s), F.col("role").alias(f"role_{s}"), F.col("norm").alias(f"norm_{s}"), F.col("words").alias(f"words_{s}"))
+    pairs = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where("role_a = role_b")
     overlap = F.size(F.array_intersect("words_a", "words_b")) / F.greatest(F.size("words_a"), F.size("words_b"))
     edit = 1 - F.levenshtein("norm_a", "norm_b") / F.greatest(F.length("norm_a"), F.length("norm_b"))
-    pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "role", F.round(overlap, 6).alias("overlap"), F.round(edit, 6).alias("edit"))
+    pairs = pairs.select("a", "b", F.col("role_a").alias("role"), F.round(overlap, 6).alias("overlap"), F.round(edit, 6).alias("edit"))
+    alike = (F.col("overlap") >= OVERLAP) | (F.col("edit") >= EDIT)
     if together is None:
-        return pairs.withColumn("seen_together", F.lit(0).cast("long")).where((F.col("overlap") >= OVERLAP) | (F.col("edit") >= EDIT))
-    pairs = pairs.join(together.select("a", "b", F.col("n").alias("seen_together")), ["a", "b"], "left").fillna(0, ["seen_together"])
-    known = (F.col("seen_together") >= TOGETHER) & (F.col("overlap") > 0)
-    return pairs.where((F.col("overlap") >= OVERLAP) | (F.col("edit") >= EDIT) | known)
+        pairs = pairs.withColumn("seen_together", F.lit(0).cast("long"))
+    else:
+        pairs = pairs.join(together.select("a", "b", F.col("n").alias("seen_together")), ["a", "b"], "left").fillna(0, ["seen_together"])
+        alike = alike | ((F.col("seen_together") >= TOGETHER) & (F.col("overlap") > 0))
+    if near is not None:
+        pairs = pairs.join(near, ["a", "b"], "left")
+        alike = alike | F.col("cosine").isNotNull()
+    return pairs.where(alike)
 
 
 def groups(links: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import re
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,8 +12,9 @@ from newsloom.functions.stem import stem, stems
 from newsloom.storage import materialize
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Letters with marks and the plain ones that stand for them (fixed values).
-MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+#: Latin letters with one mark and the plain ones that stand for them; those with two marks stay.
+_FOLDED = {c: d[0] for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))) if c == c.lower() and len(d := unicodedata.normalize("NFD", c)) == 2 and d[0].isascii() and d[0].isalpha()}
+MARKED, PLAIN = "".join(_FOLDED), "".join(_FOLDED.values())
 
 
 def fold(text: Column) -> Column:

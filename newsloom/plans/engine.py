@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import recover
 from newsloom.functions import text as T
-from newsloom.operators import context, crawl, identity, intersection, lineage, search, trust
+from newsloom.operators import context, crawl, identity, intersection, inverted, lineage, search, trust
 from newsloom.plans.views import norm_sql, trust_of
 from newsloom.session import shuffle_width
-from newsloom.sources import feeds, registry
+from newsloom.sources import feeds, registry, remote
 from newsloom.storage import fresh_path, table
 from newsloom.streaming import ingest, windows
 from newsloom.versioned import VersionedTable, rebuild
@@ -19,6 +19,7 @@ from newsloom.versioned import VersionedTable, rebuild
 NOW, NOW_SEC, AGREE = "2024-01-04", 1704326400, 0.1
 RANGES = ("today", "yesterday", "last_week", "last_month", "last_year", "all")
 QUERY = "the thing license une"
+FILES = "newsloom.sources.remote:from_files"
 
 
 # Roles and narratives
@@ -203,6 +204,42 @@ def feed_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("source_id", "text", "url", "title", "image_url", F.unix_seconds(T.mail_time(F.col("published"))).alias("sec"))
 
 
+def _feed_folders(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """A feed for each source, of its titles, in a folder of its own."""
+    rows = lineage.articles(spark, sf_dir).where("title <> '' AND source_id IS NOT NULL")
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), T.escape_html(c), F.lit(f"</{name}>"))
+    item = F.concat(F.lit("<item>"), tag("title", F.col("title")), tag("link", F.concat(F.lit("http://n/"), F.col("article_id").cast("string"))), tag("description", F.col("title")), F.lit("</item>"))
+    path = fresh_path(spark, "feeds")
+    files = rows.select("source_id", item.alias("item")).groupBy("source_id").agg(F.array_join(F.collect_list("item"), "").alias("items"))
+    files.select("source_id", F.concat(F.lit("<rss><channel>"), "items", F.lit("</channel></rss>")).alias("value")).write.partitionBy("source_id").text(path)
+    return {r.source_id: f"{path}/source_id={r.source_id}" for r in rows.select("source_id").distinct().collect()}
+
+
+def feed_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds of all sources through the data source, as a table."""
+    got = remote.fetch_feeds(spark, _feed_folders(spark, sf_dir), transport=FILES, strict="true")
+    return feeds.articles_of(got).select("source_id", "text", "url", "title")
+
+
+def feed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same feeds as a stream: one poll, written to a table."""
+    got = remote.fetch_feeds(spark, _feed_folders(spark, sf_dir), stream=True, transport=FILES, strict="true")
+    path = fresh_path(spark, "polled")
+    rows = feeds.articles_of(got).select("source_id", "text", "url", "title")
+    rows.writeStream.format("parquet").option("checkpointLocation", fresh_path(spark, "poll")).trigger(availableNow=True).start(path).awaitTermination()
+    return spark.read.parquet(path)
+
+
+def search_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as the results of a search in three pages, up to a thousand of them, as articles."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.pmod("page_id", F.lit(3)).alias("p"))
+    path, result = fresh_path(spark, "results"), F.to_json(F.struct("url", F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("title")))
+    body = F.concat(F.lit('{"results": ['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", result.alias("r")))), lambda x: x["r"]), ", "), F.lit("]}"))
+    pages.groupBy((F.col("p") + 1).alias("pageno")).agg(body.alias("value")).write.partitionBy("pageno").text(path)
+    got = remote.search_web(spark, path, "news", 1000, pages=4, transport=FILES, retries="0")
+    return feeds.search_articles(got).select("url", "title", "source_id")
+
+
 def json_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     noise = F.concat(F.lit('<think>{"k": 0}</think>Here it is: {not json} '), "props", F.lit(" as asked"))
     answer = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, noise).otherwise("no object")
@@ -293,6 +330,29 @@ def fts_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.hits.select("article_id", F.lit(got.total).cast("long").alias("total"), F.lit(got.total_pages).alias("total_pages"))
 
 
+def _changed(spark: SparkSession, sf_dir: str) -> tuple[inverted.Index, DataFrame]:
+    """An index after changes: a third of the articles with a text of before, two thirds as they are, some deleted."""
+    arts = lineage.articles(spark, sf_dir).select("article_id", "title", "text", "source_id", F.col("event_ts").alias("published"))
+    index = inverted.Index.create(spark, fresh_path(spark, "index"), ("title", "text", "source_id"), buckets=16, blocks=32)
+    index.upsert(arts.where("article_id % 3 <> 0").withColumn("text", F.concat(F.lit("license thing "), "text")))
+    index.upsert(arts.where("article_id % 3 <> 1"))
+    index.delete(arts.where("article_id % 7 = 0"))
+    return index, arts
+
+
+def fts_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of a changed index, with their articles."""
+    index, arts = _changed(spark, sf_dir)
+    return inverted.hydrate(index.search(QUERY), arts).select("article_id", "score", "title", "source_id")
+
+
+def fts_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of the titles alone, after a merge."""
+    index, _ = _changed(spark, sf_dir)
+    index.merge()
+    return index.search(QUERY, columns=("title",)).select("article_id", "score")
+
+
 def fts_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     arts = lineage.articles(spark, sf_dir)
     return arts.where(search.in_range("yesterday", F.col("event_ts"), NOW)).select("article_id", "event_ts")
@@ -321,6 +381,12 @@ _TERMS = f"""tok AS (SELECT article_id, unnest(ws) AS term, len(ws) AS length FR
     hit AS (SELECT article_id, round(-sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (SELECT avg(length) FROM doc)))), 6) AS score FROM tf JOIN idf USING (term) JOIN doc USING (article_id) GROUP BY 1)"""
 _TEXT = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))"
 
+_INDEXED = f"""fields AS (SELECT article_id, title AS t, CASE WHEN article_id % 3 = 1 THEN 'license thing ' || text ELSE text END AS x, source_id AS s FROM article WHERE article_id % 7 <> 0),
+    words AS (SELECT article_id, {", ".join(f"coalesce(regexp_extract_all(translate(lower({c}), '{search.MARKED}', '{search.PLAIN}'), '[\\p{{L}}\\p{{N}}]+'), []) AS {c}" for c in "txs")} FROM fields),
+    size AS (SELECT article_id, CAST(len(t) + len(x) + len(s) AS DOUBLE) AS length FROM words),
+    tok AS (SELECT article_id, unnest(ASKED) AS term FROM words), tf AS (SELECT article_id, term, count(*) AS tf FROM tok WHERE term IN ('the', 'thing', 'license', 'une') GROUP BY 1, 2),
+    idf AS (SELECT term, CASE WHEN i > 0 THEN i ELSE 1e-6 END AS idf FROM (SELECT term, ln(((SELECT count(*) FROM size) - count(*) + 0.5) / (count(*) + 0.5)) AS i FROM tf GROUP BY 1)),
+    hit AS (SELECT article_id, round(-sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (SELECT avg(length) FROM size)))), 6) AS score FROM tf JOIN idf USING (term) JOIN size USING (article_id) GROUP BY 1)"""
 #: Oracles that name relations of ``views``; and those over the tables alone.
 OVER_VIEWS = {
     "role_match": f"WITH RECURSIVE {_SPEC} SELECT spec, role_id, norm, score FROM fit WHERE score IS NOT NULL",
@@ -346,6 +412,10 @@ OVER_VIEWS = {
     "lineage_rebuild": "SELECT narrative_id AS stale_id FROM narr WHERE narrative_id NOT IN (SELECT 'narrative:' || substr(sha1(string_agg(CAST(article_id AS VARCHAR), '|' ORDER BY rn)), 1, 12) FROM member WHERE source_id <> 'src0' GROUP BY cluster_id)",
     "fts_search": f"WITH RECURSIVE {_TERMS} SELECT * FROM hit ORDER BY score, article_id LIMIT 20",
     "fts_page": f"WITH RECURSIVE {_TERMS}, own AS (SELECT h.* FROM hit h JOIN article a ON a.article_id = h.article_id WHERE event_ts >= '2024-01-03' AND event_ts < '2024-01-04') SELECT article_id, (SELECT count(*) FROM own) AS total, CAST(ceil((SELECT count(*) FROM own) / 10.0) AS INT) AS total_pages FROM own ORDER BY score, article_id LIMIT 10 OFFSET 10",
+    "fts_upsert": f"WITH RECURSIVE {_INDEXED.replace('ASKED', 't || x || s')} SELECT h.article_id, score, title, source_id FROM (SELECT * FROM hit ORDER BY score, article_id LIMIT 20) h JOIN article USING (article_id)",
+    "fts_column": f"WITH RECURSIVE {_INDEXED.replace('ASKED', 't')} SELECT * FROM hit ORDER BY score, article_id LIMIT 20",
+    "feed_source": "SELECT source_id, title AS text, 'http://n/' || article_id AS url, title FROM article WHERE title <> '' AND source_id IS NOT NULL",
+    "feed_stream": "SELECT source_id, title AS text, 'http://n/' || article_id AS url, title FROM article WHERE title <> '' AND source_id IS NOT NULL",
     "fts_range": "SELECT article_id, event_ts FROM article WHERE substr(event_ts, 1, 10) = '2024-01-03'",
     "context_totals": """WITH RECURSIVE big AS (SELECT cluster_id, n AS member_count, sources FROM narr ORDER BY n DESC, cluster_id LIMIT 5),
         shown AS (SELECT cluster_id, article_id, source_id FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY coalesce(event_ts, ''), article_id) AS k FROM member WHERE cluster_id IN (SELECT cluster_id FROM big)) WHERE k <= 10),
@@ -365,6 +435,7 @@ PLAIN = {
         walk AS (SELECT node, 0 AS depth FROM (VALUES ('r000000000'), ('r000000003')) s(node) UNION SELECT dst, depth + 1 FROM walk JOIN both_ways ON src = node WHERE depth < 2 AND dst NOT LIKE '%7')
         SELECT node, min(depth) AS depth FROM walk GROUP BY 1 ORDER BY 2, 1 LIMIT 200""",
     "robots_filter": "SELECT page_id, url FROM pages WHERE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) <> '' AND NOT (length(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))) % 2 = 0 AND regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/en/'))",
+    "search_source": "WITH r AS (SELECT url, page_id, page_id % 3 AS p FROM pages ORDER BY p, page_id LIMIT 1000) SELECT url, 'page ' || arg_min(page_id, p * 1000000 + page_id) AS title, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') AS source_id FROM r WHERE url LIKE 'http%' GROUP BY url",
     "json_recover": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN props END AS found FROM events",
     "upsert_merge": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 7 <> 0",
     "stream_ingest": f"SELECT url, max(length(t)) AS n_chars FROM (SELECT url, {_TEXT} AS t FROM pages) WHERE length(t) >= 40 AND NOT regexp_matches(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), 'msn\\.(com|co\\.uk|es|fr|it|de)') GROUP BY 1",
@@ -376,6 +447,6 @@ PLAIN = {
 
 QUERIES = {f.__name__: f for f in (
     role_match, intersect_all, intersect_any, intersect_min_trust, narrative_trust, narrative_rows, merge_roles, merge_bridge, merge_associations, merge_dedup_obs, assoc_groups, assoc_expand, assoc_propose,
-    trust_update, trust_board, trust_shift, bfs_crawl, robots_filter, feed_parse, json_recover, registry_load, title_near_dup, upsert_merge, lineage_rebuild, stream_ingest, event_windows, event_sessions,
-    fts_search, fts_stemmed, fts_page, fts_range, range_filter, context_totals,
+    trust_update, trust_board, trust_shift, bfs_crawl, robots_filter, feed_parse, feed_source, feed_stream, search_source, json_recover, registry_load, title_near_dup, upsert_merge, lineage_rebuild, stream_ingest, event_windows, event_sessions,
+    fts_search, fts_stemmed, fts_page, fts_upsert, fts_column, fts_range, range_filter, context_totals,
 )}

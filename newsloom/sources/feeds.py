@@ -52,6 +52,20 @@ def read_feed(spark: SparkSession, path: str, source_id: str, since: str | None
         return spark.read.format("xml").schema(_SCHEMA).option("rowTag", tag).option("mode", "PERMISSIVE").load(path)
 
     rows = entries("item").unionByName(entries("entry"))
+    return _articles(rows.withColumn("source_id", F.lit(source_id)), since, before)
+
+
+def articles_of(fetched: DataFrame, since: str | None = None, before: str | None = None) -> DataFrame:
+    """Articles of fetched feeds (source_id, body): RSS, RSS 1.0 and Atom; a body that is none of these has none."""
+    item = f"array<struct<{_SCHEMA}>>"
+    root = F.from_xml("body", f"channel struct<item {item}>, item {item}, entry {item}")
+    rows = fetched.where("body IS NOT NULL").select("source_id", root.alias("x"))
+    none = F.array().cast(item)
+    each = F.concat(*[F.coalesce(c, none) for c in (F.col("x.channel.item"), F.col("x.item"), F.col("x.entry"))])
+    return _articles(rows.select("source_id", F.inline(each)), since, before)
+
+
+def _articles(rows: DataFrame, since: str | None, before: str | None) -> DataFrame:
     summary = F.coalesce("description", F.col("summary._VALUE"), F.lit(""))
     more = F.coalesce(F.col("`content:encoded`"), F.transform("content", lambda c: c["_VALUE"]), F.array().cast("array<string>"))
     parts = F.filter(F.concat(F.array(summary, F.array_join(more, "\n\n"))), lambda p: F.trim(p) != "")
@@ -61,7 +75,7 @@ def read_feed(spark: SparkSession, path: str, source_id: str, since: str | None
     rows = rows.withColumns({"url": link, "body": F.trim(F.array_join(parts, "\n\n")), "when": F.coalesce("published", "pubDate", "updated")})
     rows = rows.where((F.col("body") != "") & in_window(F.col("when"), since, before))
     return rows.select(
-        F.lit(source_id).alias("source_id"), F.col("body").alias("text"), "url", "title",
+        "source_id", F.col("body").alias("text"), "url", "title",
         F.coalesce(author["name"], author["_VALUE"], F.col("`dc:creator`")).alias("author"), F.col("when").alias("published"),
         feed_image(F.col("`media:content`"), F.col("`media:thumbnail`"), F.col("`media:group`"), F.col("enclosure")).alias("image_url"),
         feed_video(F.col("url"), F.col("`media:content`")).alias("video_url"),

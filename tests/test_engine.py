@@ -316,3 +316,54 @@ def test_whole_engine(spark, sf, tmp_path):
     assert spark.read.json(str(tmp_path / "graph/edges")).where("kind = 'source'").count() == news.articles.count()
     story = news.member.first().cluster_id
     assert news.story_sources(story, base).count() >= 1
+
+
+def _similar(rows, together=(), vectors=None):
+    """Every pair by plain loops."""
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    seen, out = {(a, b): n for a, b, n in together}, set()
+    for i, role, x in rows:
+        for j, other, y in rows:
+            if i < j and role == other and x and y:
+                p, q = set(x.split(" ")), set(y.split(" "))
+                shared = len(p & q) / max(len(p), len(q))
+                near = round(1 - distance(x, y) / max(len(x), len(y)), 6) >= 0.85
+                if round(shared, 6) >= 0.5 or near or (seen.get((i, j), 0) >= 3 and shared > 0):
+                    out.add((i, j))
+    return out
+
+
+def test_propose_loses_no_pair(spark):
+    rng = random.Random(8)
+    names = ["johnathan", "jahnathan", "johnathon", "a b c d", "a x y z", "", "a", "ab", "abc", "aaaaaaa", "aaaaaaab", "baaaaaaa", "aaaa aaaa aaaa", "aaaa aaaa aaab", "same words here", "here same words"]
+    for _ in range(60):
+        base = "".join(rng.choices("abcd ", k=rng.randint(3, 60))).strip() or "x"
+        names.append(base)
+        for _ in range(3):
+            text = list(base)
+            for _ in range(rng.randint(0, max(1, len(text) * 15 // 100) + 1)):
+                at = rng.randrange(len(text) + 1)
+                rng.choice([lambda: text.insert(at, rng.choice("abcdz")), lambda: text and text.pop(at % len(text)), lambda: text and text.__setitem__(at % len(text), "z")])()
+            names.append("".join(text))
+    rows = [(i, "who" if i % 5 else "what", " ".join(n.split())) for i, n in enumerate(names)]
+    together = [(3, 4, 5), (0, 3, 9), (1, 2, 2), (4, 14, 3)]
+    rows[0:5] = [(i, "who", n) for i, n in enumerate(names[:5])]
+    df = spark.createDataFrame(rows, "id long, role string, norm string")
+    seen = spark.createDataFrame(together, "a long, b long, n long")
+    got = {(r.a, r.b) for r in identity.propose(df, seen).collect()}
+    want = _similar(rows, together)
+    assert got == want and {(0, 1), (3, 4)} <= want and len(want) > 150
+
+
+def test_propose_by_vectors(spark):
+    rows = spark.createDataFrame([(1, "who", "red"), (2, "who", "blue sea"), (3, "who", "green"), (4, "what", "grey")], "id long, role string, norm string")
+    x = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.95, 0.2]), (3, [0.0, 1.0]), (4, [1.0, 0.0])], "id long, x array<double>")
+    got = identity.propose(rows, vectors=x).collect()
+    assert [(r.a, r.b) for r in got] == [(1, 2)] and got[0].cosine > 0.9
