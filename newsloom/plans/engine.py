@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import recover
 from newsloom.functions import text as T
-from newsloom.operators import context, crawl, identity, intersection, inverted, lineage, search, trust
+from newsloom.operators import context, crawl, identity, incremental, intersection, inverted, lineage, search, trust
 from newsloom.plans.views import norm_sql, trust_of
 from newsloom.session import shuffle_width
 from newsloom.sources import feeds, registry, remote
@@ -82,6 +82,14 @@ def narrative_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.stories(member, role, vectors, NOW_SEC, 0.3).drop("frame_shift_note", "last_id")
 
 
+def narratives_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Narratives of all articles, taken up in three batches that are mixed in time."""
+    arts, state = lineage.articles(spark, sf_dir), incremental.Narratives(spark, fresh_path(spark, "narratives"))
+    for k in (2, 0, 1):
+        state.add(arts.where(F.pmod("article_id", F.lit(3)) == k))
+    return state.members().select("cluster_id", "article_id", "source_id", "event_ts", "rn")
+
+
 # Identity
 def _remap(rows: DataFrame) -> DataFrame:
     """Roles that begin alike become the one with the smallest id."""
@@ -400,6 +408,7 @@ OVER_VIEWS = {
             FROM narr n JOIN embeddings f ON f.vec_id = n.first_id JOIN embeddings l ON l.vec_id = n.last_id WHERE n.n >= 2)
         SELECT n.cluster_id, n.n, n.members, n.sources, n.n_sources, n.latest, n.first_id, n.first_source, n.narrative_id, title, first_seen, new_article_count, derivatives, coalesce(entities, '') AS entities, cos AS frame_shift_score, coalesce(cos < 0.3, false) AS frame_shift
         FROM narr n JOIN extra USING (cluster_id) LEFT JOIN ent USING (cluster_id) LEFT JOIN shift USING (cluster_id)""",
+    "narratives_incremental": "SELECT cluster_id, article_id, source_id, event_ts, rn FROM member",
     "merge_roles": f"""WITH RECURSIVE {_MAP}, own AS (SELECT new_id, old_id, r.article_id, r.norm FROM remap JOIN role r ON r.role_id = old_id)
         SELECT new_id AS role_id, min(CASE WHEN old_id = new_id THEN norm END) AS text, count(DISTINCT article_id) AS reference_count, count(DISTINCT old_id) > 1 AS is_association,
         coalesce(string_agg(DISTINCT CASE WHEN old_id <> new_id THEN old_id END, ',' ORDER BY CASE WHEN old_id <> new_id THEN old_id END), '') AS merged_from FROM own GROUP BY 1""",
@@ -446,7 +455,7 @@ PLAIN = {
 }
 
 QUERIES = {f.__name__: f for f in (
-    role_match, intersect_all, intersect_any, intersect_min_trust, narrative_trust, narrative_rows, merge_roles, merge_bridge, merge_associations, merge_dedup_obs, assoc_groups, assoc_expand, assoc_propose,
+    role_match, intersect_all, intersect_any, intersect_min_trust, narrative_trust, narrative_rows, narratives_incremental, merge_roles, merge_bridge, merge_associations, merge_dedup_obs, assoc_groups, assoc_expand, assoc_propose,
     trust_update, trust_board, trust_shift, bfs_crawl, robots_filter, feed_parse, feed_source, feed_stream, search_source, json_recover, registry_load, title_near_dup, upsert_merge, lineage_rebuild, stream_ingest, event_windows, event_sessions,
     fts_search, fts_stemmed, fts_page, fts_upsert, fts_column, fts_range, range_filter, context_totals,
 )}
