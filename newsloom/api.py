@@ -106,7 +106,7 @@ class News:
             waiting = waiting.join(tables["summaries"].read().select("article_id"), "article_id", "left_anti")
         waiting = waiting.orderBy("article_id").limit(pending)
         if summarize:
-            tables["summaries"].upsert(summarize(waiting), "article_id")
+            tables["summaries"].upsert(summarize(waiting), "article_id", "article_id")
         brief = tables["narratives"].read().orderBy(F.coalesce("latest", F.lit("9999")).desc(), "cluster_id").limit(top)
         tables["brief"].replace(brief.select("cluster_id", F.col("first_id").alias("article_id")))
         for t in tables.values():

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 THOUGHT = re.compile(r"<think>.*?</think>", re.S)
@@ -69,10 +69,10 @@ def new_titles(rows: DataFrame, known: DataFrame, least: float = ALIKE, most: in
     ``known`` is (source_id, title, at); a title is compared in lower case, and a row without one is new. Each row meets
     at most ``most`` titles, which is the feature, so pairs stay in proportion to the rows.
     """
-    titles = known.where("title <> ''").groupBy("source_id").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("at", "title"))), 1, most).alias("old")
-    )
-    pairs = rows.where("title <> ''").join(titles, "source_id").select("id", "title", F.explode("old.title").alias("other"))
+    first = Window.partitionBy("source_id").orderBy("at", "title")
+    titles = known.where("title <> ''").withColumn("k", F.row_number().over(first)).where(F.col("k") <= most)
+    old = titles.select("source_id", F.col("title").alias("other"))
+    pairs = rows.where("title <> ''").join(old, "source_id").select("id", "title", "other")
     fold = lambda c: F.lower(F.trim(c))
     same = pairs.where(alike(fold(F.col("title")), fold(F.col("other"))) >= least).select("id").distinct()
     return rows.join(same, "id", "left_anti")

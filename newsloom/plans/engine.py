@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import recover
 from newsloom.functions import text as T
+from newsloom.keyed import KeyedTable, role_dimension, role_references
 from newsloom.operators import context, crawl, identity, incremental, intersection, inverted, lineage, search, trust
 from newsloom.plans.views import norm_sql, trust_of
 from newsloom.session import shuffle_width
@@ -277,13 +278,42 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = VersionedTable(spark, fresh_path(spark, "customers"))
     store.replace(base)
     new = base.where("c_custkey % 2 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)
-    store.upsert(new.unionByName(new.limit(5).selectExpr("c_custkey + 10000000 AS c_custkey", "0D AS c_acctbal")), "c_custkey")
+    store.upsert(new.unionByName(new.limit(5).selectExpr("c_custkey + 10000000 AS c_custkey", "0D AS c_acctbal")), "c_custkey", "c_acctbal")
     store.delete(base.where("c_custkey % 7 = 0"), "c_custkey")
     store.compact(2)
     store.vacuum()
     return store.read().where("c_custkey < 10000000")
 
 
+def bucket_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in buckets after an upsert with repeated keys and a delete, each of which rewrites its own buckets."""
+    base = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.lit(0).alias("at"))
+    store = KeyedTable(spark, fresh_path(spark, "keyed"), ("c_custkey",), 16)
+    store.upsert(base, "at")
+    new = base.where("c_custkey % 2 = 0").select("c_custkey", F.col("c_acctbal") + 1, F.lit(2).alias("at")).toDF("c_custkey", "c_acctbal", "at")
+    store.upsert(new.unionByName(base.withColumns({"c_acctbal": F.lit(0.0), "at": F.lit(1)}).where("c_custkey % 4 = 0")), "at")
+    store.delete(base.where("c_custkey % 7 = 0"))
+    return store.read().drop("at")
+
+
+def role_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of articles that come in two batches, the second one twice."""
+    role = lineage.roles(lineage.texts(spark, sf_dir))
+    store = role_references(spark, fresh_path(spark, "references"), 16)
+    for part in ("article_id % 2 = 1", "article_id % 2 = 0", "article_id % 2 = 0"):
+        store.upsert(role.where(part), "article_id")
+    return role_dimension(store.read())
+
+
+def merge_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that were ordered together, after parts became the first of their ten."""
+    own = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    one, two = own.withColumnRenamed("l_partkey", "a"), own.withColumnRenamed("l_partkey", "b")
+    rels = one.join(two, "l_orderkey").where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("old_id"), (F.col("p_partkey") - F.col("p_partkey") % 10).alias("new_id"))
+    return identity.merge_edges(rels, part).drop("figment_id")
+
+
 def lineage_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a rebuild without the articles of one source makes readers forget."""
     member = lineage.members(spark, sf_dir)
@@ -409,6 +439,7 @@ OVER_VIEWS = {
         SELECT n.cluster_id, n.n, n.members, n.sources, n.n_sources, n.latest, n.first_id, n.first_source, n.narrative_id, title, first_seen, new_article_count, derivatives, coalesce(entities, '') AS entities, cos AS frame_shift_score, coalesce(cos < 0.3, false) AS frame_shift
         FROM narr n JOIN extra USING (cluster_id) LEFT JOIN ent USING (cluster_id) LEFT JOIN shift USING (cluster_id)""",
     "narratives_incremental": "SELECT cluster_id, article_id, source_id, event_ts, rn FROM member",
+    "role_upsert": "SELECT role_id, norm, min(article_id) AS first_article_id, count(*) AS reference_count FROM role GROUP BY role_id, norm",
     "merge_roles": f"""WITH RECURSIVE {_MAP}, own AS (SELECT new_id, old_id, r.article_id, r.norm FROM remap JOIN role r ON r.role_id = old_id)
         SELECT new_id AS role_id, min(CASE WHEN old_id = new_id THEN norm END) AS text, count(DISTINCT article_id) AS reference_count, count(DISTINCT old_id) > 1 AS is_association,
         coalesce(string_agg(DISTINCT CASE WHEN old_id <> new_id THEN old_id END, ',' ORDER BY CASE WHEN old_id <> new_id THEN old_id END), '') AS merged_from FROM own GROUP BY 1""",
@@ -447,6 +478,7 @@ PLAIN = {
     "search_source": "WITH r AS (SELECT url, page_id, page_id % 3 AS p FROM pages ORDER BY p, page_id LIMIT 1000) SELECT url, 'page ' || arg_min(page_id, p * 1000000 + page_id) AS title, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '') AS source_id FROM r WHERE url LIKE 'http%' GROUP BY url",
     "json_recover": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN props END AS found FROM events",
     "upsert_merge": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 7 <> 0",
+    "bucket_upsert": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 7 <> 0",
     "stream_ingest": f"SELECT url, max(length(t)) AS n_chars FROM (SELECT url, {_TEXT} AS t FROM pages) WHERE length(t) >= 40 AND NOT regexp_matches(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), 'msn\\.(com|co\\.uk|es|fr|it|de)') GROUP BY 1",
     "event_windows": "SELECT CAST(epoch(s) AS BIGINT) AS start_sec, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL '12 hours', ts), time_bucket(INTERVAL '12 hours', ts) - INTERVAL '12 hours']) AS s FROM events) GROUP BY 1, 2",
     "event_sessions": """WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events), g AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s) < 21600 THEN 0 ELSE 1 END AS new FROM e),
@@ -456,6 +488,6 @@ PLAIN = {
 
 QUERIES = {f.__name__: f for f in (
     role_match, intersect_all, intersect_any, intersect_min_trust, narrative_trust, narrative_rows, narratives_incremental, merge_roles, merge_bridge, merge_associations, merge_dedup_obs, assoc_groups, assoc_expand, assoc_propose,
-    trust_update, trust_board, trust_shift, bfs_crawl, robots_filter, feed_parse, feed_source, feed_stream, search_source, json_recover, registry_load, title_near_dup, upsert_merge, lineage_rebuild, stream_ingest, event_windows, event_sessions,
+    trust_update, trust_board, trust_shift, bfs_crawl, robots_filter, feed_parse, feed_source, feed_stream, search_source, json_recover, registry_load, title_near_dup, upsert_merge, bucket_upsert, role_upsert, merge_relationships, lineage_rebuild, stream_ingest, event_windows, event_sessions,
     fts_search, fts_stemmed, fts_page, fts_upsert, fts_column, fts_range, range_filter, context_totals,
 )}

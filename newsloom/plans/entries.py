@@ -153,8 +153,7 @@ def knn_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _labelled(spark: SparkSession, sf_dir: str, same: bool) -> DataFrame:
     """Pairs of narratives (x, y) that a pair label calls the same event, or not."""
-    pairs = _near(spark, sf_dir, least=-2.0).where((F.col("label_a") == F.col("label_b")) == F.lit(same))
-    pairs = pairs.where(F.col("cos") >= MERGE_COS) if same else pairs
+    pairs = _near(spark, sf_dir, least=MERGE_COS if same else -2.0).where((F.col("label_a") == F.col("label_b")) == F.lit(same))
     own = lineage.members(spark, sf_dir).select("article_id", "cluster_id")
     left, right = own.select(F.col("article_id").alias("a"), F.col("cluster_id").alias("x")), own.select(F.col("article_id").alias("b"), F.col("cluster_id").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("x", "y")

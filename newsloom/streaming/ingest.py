@@ -49,7 +49,7 @@ def ingest(
     def tick(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        target.upsert(batch, key)
+        target.upsert(batch, key, time_col or key)
         if on_new:
             on_new(batch, number)
 

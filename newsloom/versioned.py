@@ -42,9 +42,13 @@ class VersionedTable:
     def replace(self, rows: DataFrame) -> None:
         self.publish(self.write(rows))
 
-    def upsert(self, rows: DataFrame, key: str, order: str | None = None) -> None:
-        """Rows take the place of those with their key, others are added; of a key that comes twice the last in ``order`` counts."""
-        new = rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order or key).alias("r")).select("r.*")
+    def upsert(self, rows: DataFrame, key: str, order: str) -> None:
+        """Rows take the place of those with their key, others are added; of a key that comes twice the last in ``order`` counts.
+
+        Of rows that tie there, one is taken by their contents, the same each time.
+        """
+        last = F.max_by(F.struct(*rows.columns), F.struct(order, F.xxhash64(*rows.columns)))
+        new = rows.groupBy(key).agg(last.alias("r")).select("r.*")
         if self.version() is None:
             return self.replace(new)
         kept = self.read().join(new.select(key), key, "left_anti")
