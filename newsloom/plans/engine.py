@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import recover
 from newsloom.functions import text as T
 from newsloom.keyed import KeyedTable, role_dimension, role_references
-from newsloom.operators import context, crawl, identity, incremental, intersection, inverted, lineage, search, trust
+from newsloom.operators import browse, context, crawl, identity, incremental, intersection, inverted, lineage, search, trust
 from newsloom.plans.views import norm_sql, trust_of
 from newsloom.session import shuffle_width
 from newsloom.sources import feeds, registry, remote
@@ -91,6 +91,49 @@ def narratives_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.members().select("cluster_id", "article_id", "source_id", "event_ts", "rn")
 
 
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    member = lineage.members(spark, sf_dir)
+    first = member.groupBy("cluster_id").agg(F.min("event_ts").alias("first_seen"))
+    return lineage.narratives(member).join(first, "cluster_id").withColumn("last_updated", F.col("latest"))
+
+
+def narrative_sorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of each order, asked for with more rows than a page has."""
+    rows, out = _listed(spark, sf_dir), []
+    for sort in (*browse.ORDERS, "unknown"):
+        page = browse.page_of(rows, sort, 0, 500)
+        out.append(page.rows.select(F.lit(sort).alias("sort"), "place", "cluster_id", F.lit(page.total).cast("long").alias("total"), F.lit(page.total_pages).cast("long").alias("total_pages")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def narrative_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The narratives of each named range before a moment in the middle of a day; undated ones are in all."""
+    rows = _listed(spark, sf_dir)
+    each = [rows.where(browse.in_range(n, F.col("latest"), f"{NOW} 12:00:00")).select(F.lit(n).alias("range"), "cluster_id") for n in RANGES]
+    return reduce(DataFrame.unionByName, each)
+
+
+def narrative_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Narratives of two sources or more, one of which holds ``rc1``, from the day before on, fewest sources first."""
+    rows = browse.screen(_listed(spark, sf_dir), f"{NOW} 12:00:00", 2, "yesterday", "rc1")
+    return browse.page_of(rows, "sources-asc", 1, 20, orders=browse.SCREEN_ORDERS).rows.select("place", "cluster_id", "n_sources", "latest")
+
+
+def narrative_role_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of narratives by their articles and by the stories that roles name: here each role names its last article's."""
+    member, role = lineage.members(spark, sf_dir), lineage.roles(lineage.texts(spark, sf_dir))
+    last = role.groupBy("role_id").agg(F.max("article_id").alias("article_id"))
+    stories = last.join(member.select("article_id", "cluster_id"), "article_id")
+    return browse.roles_of(member, role.where("article_id % 2 = 0"), stories)
+
+
+def role_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles with the narrative that they belong to, of those of the last day."""
+    rows = _listed(spark, sf_dir)
+    shown = rows.where(browse.in_range("yesterday", F.col("latest"), f"{NOW} 12:00:00"))
+    return browse.role_stories(lineage.members(spark, sf_dir), lineage.roles(lineage.texts(spark, sf_dir)), shown)
+
+
 # Identity
 def _remap(rows: DataFrame) -> DataFrame:
     """Roles that begin alike become the one with the smallest id."""
@@ -440,6 +483,16 @@ OVER_VIEWS = {
         FROM narr n JOIN extra USING (cluster_id) LEFT JOIN ent USING (cluster_id) LEFT JOIN shift USING (cluster_id)""",
     "narratives_incremental": "SELECT cluster_id, article_id, source_id, event_ts, rn FROM member",
     "role_upsert": "SELECT role_id, norm, min(article_id) AS first_article_id, count(*) AS reference_count FROM role GROUP BY role_id, norm",
+    "narrative_sorts": "WITH RECURSIVE listed AS (SELECT n.*, f.first_seen FROM narr n JOIN (SELECT cluster_id, min(event_ts) AS first_seen FROM member GROUP BY 1) f USING (cluster_id)), placed AS ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS sort, CAST(row_number() OVER (ORDER BY {o}, cluster_id) AS INT) AS place, cluster_id FROM listed" for n, o in (
+        ("newest", "first_seen DESC NULLS LAST"), ("updated", "latest DESC NULLS LAST"), ("oldest", "first_seen ASC NULLS FIRST"), ("sources", "n_sources DESC"), ("latest", "latest DESC NULLS LAST"), ("unknown", "latest DESC NULLS LAST")))
+    + ") SELECT *, (SELECT count(*) FROM narr ) AS total, CAST(ceil((SELECT count(*) FROM narr ) / 100.0) AS BIGINT) AS total_pages FROM placed WHERE place <= 100",
+    "narrative_ranges": "WITH RECURSIVE d AS (SELECT cluster_id, CAST(latest AS TIMESTAMP) AS t FROM narr ) SELECT range, cluster_id FROM ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS range, cluster_id FROM d WHERE t IS NULL OR ({c})" for n, c in (
+        ("today", "t >= '2024-01-04'"), ("yesterday", "t >= '2024-01-03' AND t < '2024-01-04'"), ("last_week", "t >= '2023-12-28 12:00:00'"), ("last_month", "t >= '2023-12-05 12:00:00'"), ("last_year", "t >= '2023-01-04 12:00:00'"), ("all", "true"))) + ")",
+    "narrative_screen": "SELECT CAST(row_number() OVER (ORDER BY n_sources, cluster_id) AS INT) AS place, cluster_id, n_sources, latest FROM narr WHERE n_sources >= 2 AND latest >= '2024-01-03' AND position('rc1' IN sources) > 0 ORDER BY place LIMIT 20",
+    "narrative_role_union": "SELECT m.cluster_id, r.role_id FROM member m JOIN role r ON r.article_id = m.article_id WHERE r.article_id % 2 = 0 UNION SELECT m.cluster_id, l.role_id FROM (SELECT role_id, max(article_id) AS article_id FROM role GROUP BY 1) l JOIN member m ON m.article_id = l.article_id",
+    "role_stories": "SELECT p.role_id, p.n AS count, s.cluster_id FROM (SELECT role_id, count(*) AS n, min(article_id) AS article_id FROM role GROUP BY 1) p LEFT JOIN (SELECT m.article_id, m.cluster_id FROM member m JOIN narr n ON n.cluster_id = m.cluster_id WHERE n.latest IS NULL OR (n.latest >= '2024-01-03' AND n.latest < '2024-01-04')) s ON s.article_id = p.article_id",
     "merge_roles": f"""WITH RECURSIVE {_MAP}, own AS (SELECT new_id, old_id, r.article_id, r.norm FROM remap JOIN role r ON r.role_id = old_id)
         SELECT new_id AS role_id, min(CASE WHEN old_id = new_id THEN norm END) AS text, count(DISTINCT article_id) AS reference_count, count(DISTINCT old_id) > 1 AS is_association,
         coalesce(string_agg(DISTINCT CASE WHEN old_id <> new_id THEN old_id END, ',' ORDER BY CASE WHEN old_id <> new_id THEN old_id END), '') AS merged_from FROM own GROUP BY 1""",
@@ -487,7 +540,7 @@ PLAIN = {
 }
 
 QUERIES = {f.__name__: f for f in (
-    role_match, intersect_all, intersect_any, intersect_min_trust, narrative_trust, narrative_rows, narratives_incremental, merge_roles, merge_bridge, merge_associations, merge_dedup_obs, assoc_groups, assoc_expand, assoc_propose,
+    role_match, intersect_all, intersect_any, intersect_min_trust, narrative_trust, narrative_rows, narratives_incremental, narrative_sorts, narrative_ranges, narrative_screen, narrative_role_union, role_stories, merge_roles, merge_bridge, merge_associations, merge_dedup_obs, assoc_groups, assoc_expand, assoc_propose,
     trust_update, trust_board, trust_shift, bfs_crawl, robots_filter, feed_parse, feed_source, feed_stream, search_source, json_recover, registry_load, title_near_dup, upsert_merge, bucket_upsert, role_upsert, merge_relationships, lineage_rebuild, stream_ingest, event_windows, event_sessions,
     fts_search, fts_stemmed, fts_page, fts_upsert, fts_column, fts_range, range_filter, context_totals,
 )}
