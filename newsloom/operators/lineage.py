@@ -10,6 +10,7 @@ from newsloom.storage import materialize, state, table
 MIN_SHARED, DF_SHARE, DF_LEAST, MIN_SENTENCE = 2, 0.2, 5, 12
 #: So many links are a few megabytes: one task joins them faster than rounds over tables would.
 SMALL = 250_000
+#: What is written once: members and roles.
 _MEMBERS: dict[tuple, DataFrame] = {}
 
 
@@ -71,6 +72,14 @@ def linked(role_rows: DataFrame, n_articles: int) -> DataFrame:
     return pairs.select("a", "b").unionByName(copies)
 
 
+def stored_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``roles`` of all articles, written once for each application and state of the documents: texts are cut once."""
+    key = (spark.sparkContext.applicationId, "roles", state(spark, sf_dir, "documents"))
+    if key not in _MEMBERS:
+        _MEMBERS[key] = materialize(roles(texts(spark, sf_dir)), "roles", free=False)
+    return _MEMBERS[key]
+
+
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(cluster_id, article_id, source_id, event_ts, event_sec, title, rn)``: narratives in order of time.
 
@@ -80,7 +89,7 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, state(spark, sf_dir, "documents", "events"))
     if key not in _MEMBERS:
         arts = articles(spark, sf_dir)
-        own = materialize(roles(texts(spark, sf_dir)).select("article_id", "norm"), "roles", free=False)
+        own = stored_roles(spark, sf_dir).select("article_id", "norm")
         label = connected_components(linked(own, table(spark, sf_dir, "documents").count()), small=SMALL).select(F.col("node").alias("article_id"), F.col("component").alias("cluster_id"))
         rows = arts.drop("text", "lang").join(label, "article_id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "article_id"))
         order = Window.partitionBy("cluster_id").orderBy(F.col("event_sec").asc_nulls_last(), "article_id")

@@ -33,11 +33,11 @@ def _texts(role: DataFrame) -> list[str]:
 
 def _narrative_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     arts = lineage.articles(spark, sf_dir)
-    return lineage.members(spark, sf_dir), lineage.roles(arts), trust_of(arts)
+    return lineage.members(spark, sf_dir), lineage.stored_roles(spark, sf_dir), trust_of(arts)
 
 
 def role_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    role = lineage.roles(lineage.texts(spark, sf_dir))
+    role = lineage.stored_roles(spark, sf_dir)
     return intersection.match_roles(role, _texts(role)).orderBy(F.desc("score"), "spec", "norm")
 
 
@@ -121,7 +121,7 @@ def narrative_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def narrative_role_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of narratives by their articles and by the stories that roles name: here each role names its last article's."""
-    member, role = lineage.members(spark, sf_dir), lineage.roles(lineage.texts(spark, sf_dir))
+    member, role = lineage.members(spark, sf_dir), lineage.stored_roles(spark, sf_dir)
     last = role.groupBy("role_id").agg(F.max("article_id").alias("article_id"))
     stories = last.join(member.select("article_id", "cluster_id"), "article_id")
     return browse.roles_of(member, role.where("article_id % 2 = 0"), stories)
@@ -131,7 +131,7 @@ def role_stories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles with the narrative that they belong to, of those of the last day."""
     rows = _listed(spark, sf_dir)
     shown = rows.where(browse.in_range("yesterday", F.col("latest"), f"{NOW} 12:00:00"))
-    return browse.role_stories(lineage.members(spark, sf_dir), lineage.roles(lineage.texts(spark, sf_dir)), shown)
+    return browse.role_stories(lineage.members(spark, sf_dir), lineage.stored_roles(spark, sf_dir), shown)
 
 
 # Identity
@@ -143,7 +143,7 @@ def _remap(rows: DataFrame) -> DataFrame:
 
 
 def merge_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    role = lineage.roles(lineage.texts(spark, sf_dir))
+    role = lineage.stored_roles(spark, sf_dir)
     rows = role.groupBy("role_id").agg(F.min("norm").alias("text"), F.array_sort(F.collect_set("article_id")).alias("references"))
     rows = rows.withColumn("merged_from", F.array().cast("array<string>"))
     out = identity.merge_roles(rows, identity.resolve(_remap(role), role))
@@ -151,7 +151,7 @@ def merge_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    role = lineage.roles(lineage.texts(spark, sf_dir))
+    role = lineage.stored_roles(spark, sf_dir)
     lists = role.groupBy("article_id").agg(F.array_sort(F.collect_list("role_id")).alias("role_figments"))
     out = identity.merge_lists(lists, "article_id", "role_figments", identity.resolve(_remap(role), role))
     return out.select("article_id", F.array_join("role_figments", ",").alias("role_figments"))
@@ -341,7 +341,7 @@ def bucket_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def role_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of articles that come in two batches, the second one twice."""
-    role = lineage.roles(lineage.texts(spark, sf_dir))
+    role = lineage.stored_roles(spark, sf_dir)
     store = role_references(spark, fresh_path(spark, "references"), 16)
     for part in ("article_id % 2 = 1", "article_id % 2 = 0", "article_id % 2 = 0"):
         store.upsert(role.where(part), "article_id")
