@@ -1,5 +1,6 @@
 """The engine as one object over a folder of tables: what a server or a shell calls."""
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -7,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.operators import boundary, context, intersection, lineage, search, trust
-from newsloom.storage import fresh_path, state, table
+from newsloom.storage import fresh_path, read_text, replace_text, state, table
 from newsloom.versioned import VersionedTable, rebuild
 
 FRAME = 0.85
+#: The file that names the versions of the last run.
+RUN = "_run"
 
 
 @dataclass
@@ -31,7 +34,7 @@ class News:
     def __init__(self, spark: SparkSession, sf_dir: str, base_trust: DataFrame, now_sec: int, store: str | None = None):
         self.spark, self.sf_dir, self.base, self.now = spark, sf_dir, base_trust, now_sec
         self.articles = lineage.articles(spark, sf_dir)
-        self.roles = lineage.roles(lineage.texts(spark, sf_dir))
+        self.roles = lineage.stored_roles(spark, sf_dir)
         self._index: tuple | None = None
         self.store = store or fresh_path(spark, "store")
 
@@ -89,7 +92,11 @@ class News:
         return results.join(own, "source_id", "left_semi")
 
     def run(self, summarize: Callable[[DataFrame], DataFrame] | None = None, most_stories: int | None = None, top: int = 8, pending: int = 10) -> Report:
-        """Rebuild narratives, role links, trust and the brief into versioned tables, each published when it is whole.
+        """Rebuild narratives, role links, trust and the brief into versioned tables.
+
+        One file names the versions that belong together; it is replaced last, so ``published`` gives the tables of the
+        last run that ended, whatever a run that goes on or broke off has written. What only older runs name is deleted
+        then.
 
         ``summarize`` gets the pending articles (article_id, text) and gives (article_id, summary), which are merged into
         the table of summaries; articles in it are pending no longer.
@@ -109,10 +116,18 @@ class News:
             tables["summaries"].upsert(summarize(waiting), "article_id", "article_id")
         brief = tables["narratives"].read().orderBy(F.coalesce("latest", F.lit("9999")).desc(), "cluster_id").limit(top)
         tables["brief"].replace(brief.select("cluster_id", F.col("first_id").alias("article_id")))
+        replace_text(self.spark, f"{self.store}/{RUN}", json.dumps({n: t.version() for n, t in tables.items() if t.version()}))
         for t in tables.values():
             t.vacuum()
         return Report(tables["narratives"].read(), stale, tables["links"].read(), waiting, tables["brief"].read(), tables["trust"].read())
 
+    def published(self, name: str) -> DataFrame:
+        """A table of the last run that ended: narratives, links, trust, summaries or brief."""
+        run = read_text(self.spark, f"{self.store}/{RUN}")
+        if run is None or name not in json.loads(run):
+            raise FileNotFoundError(f"no run has published {name}")
+        return self.spark.read.parquet(f"{self.store}/{name}/{json.loads(run)[name]}")
+
     def evaluate(self, found: DataFrame, path: str | None = None) -> DataFrame:
         """``(source_id, atoms, recalled, recall, base_trust, adjusted_trust)``: of each source's roles the share in ``found`` (role_id)."""
         own = self.roles.join(self.articles.select("article_id", "source_id"), "article_id").select("source_id", "role_id").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import recover
 from newsloom.functions import text as T
 from newsloom.keyed import KeyedTable, role_dimension, role_references
-from newsloom.operators import browse, context, crawl, identity, incremental, intersection, inverted, lineage, search, trust
+from newsloom.operators import browse, budget, context, crawl, identity, incremental, intersection, inverted, lineage, search, trust
 from newsloom.plans.views import norm_sql, trust_of
 from newsloom.session import shuffle_width
 from newsloom.sources import feeds, registry, remote
@@ -292,6 +292,16 @@ def search_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.search_articles(got).select("url", "title", "source_id")
 
 
+def feed_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles that a run of a hundred takes, from all feeds alike."""
+    return budget.within_budget(lineage.articles(spark, sf_dir).select("article_id", "source_id"), 100)
+
+
+def feed_budget_tight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that ends before the last feeds."""
+    return budget.within_budget(lineage.articles(spark, sf_dir).select("article_id", "source_id"), 7)
+
+
 def json_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     noise = F.concat(F.lit('<think>{"k": 0}</think>Here it is: {not json} '), "props", F.lit(" as asked"))
     answer = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, noise).otherwise("no object")
@@ -468,6 +478,7 @@ _INDEXED = f"""fields AS (SELECT article_id, title AS t, CASE WHEN article_id %
     tok AS (SELECT article_id, unnest(ASKED) AS term FROM words), tf AS (SELECT article_id, term, count(*) AS tf FROM tok WHERE term IN ('the', 'thing', 'license', 'une') GROUP BY 1, 2),
     idf AS (SELECT term, CASE WHEN i > 0 THEN i ELSE 1e-6 END AS idf FROM (SELECT term, ln(((SELECT count(*) FROM size) - count(*) + 0.5) / (count(*) + 0.5)) AS i FROM tf GROUP BY 1)),
     hit AS (SELECT article_id, round(-sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (SELECT avg(length) FROM size)))), 6) AS score FROM tf JOIN idf USING (term) JOIN size USING (article_id) GROUP BY 1)"""
+_BUDGET = "WITH RECURSIVE k AS (SELECT article_id, source_id, row_number() OVER (PARTITION BY source_id ORDER BY article_id) AS k FROM article WHERE source_id IS NOT NULL) SELECT article_id, source_id FROM k WHERE k <= greatest(1, MOST // (SELECT count(DISTINCT source_id) FROM k)) ORDER BY source_id, k LIMIT MOST"
 #: Oracles that name relations of ``views``; and those over the tables alone.
 OVER_VIEWS = {
     "role_match": f"WITH RECURSIVE {_SPEC} SELECT spec, role_id, norm, score FROM fit WHERE score IS NOT NULL",
@@ -507,6 +518,8 @@ OVER_VIEWS = {
     "fts_page": f"WITH RECURSIVE {_TERMS}, own AS (SELECT h.* FROM hit h JOIN article a ON a.article_id = h.article_id WHERE event_ts >= '2024-01-03' AND event_ts < '2024-01-04') SELECT article_id, (SELECT count(*) FROM own) AS total, CAST(ceil((SELECT count(*) FROM own) / 10.0) AS INT) AS total_pages FROM own ORDER BY score, article_id LIMIT 10 OFFSET 10",
     "fts_upsert": f"WITH RECURSIVE {_INDEXED.replace('ASKED', 't || x || s')} SELECT h.article_id, score, title, source_id FROM (SELECT * FROM hit ORDER BY score, article_id LIMIT 20) h JOIN article USING (article_id)",
     "fts_column": f"WITH RECURSIVE {_INDEXED.replace('ASKED', 't')} SELECT * FROM hit ORDER BY score, article_id LIMIT 20",
+    "feed_budget": _BUDGET.replace("MOST", "100"),
+    "feed_budget_tight": _BUDGET.replace("MOST", "7"),
     "feed_source": "SELECT source_id, title AS text, 'http://n/' || article_id AS url, title FROM article WHERE title <> '' AND source_id IS NOT NULL",
     "feed_stream": "SELECT source_id, title AS text, 'http://n/' || article_id AS url, title FROM article WHERE title <> '' AND source_id IS NOT NULL",
     "fts_range": "SELECT article_id, event_ts FROM article WHERE substr(event_ts, 1, 10) = '2024-01-03'",
@@ -541,6 +554,6 @@ PLAIN = {
 
 QUERIES = {f.__name__: f for f in (
     role_match, intersect_all, intersect_any, intersect_min_trust, narrative_trust, narrative_rows, narratives_incremental, narrative_sorts, narrative_ranges, narrative_screen, narrative_role_union, role_stories, merge_roles, merge_bridge, merge_associations, merge_dedup_obs, assoc_groups, assoc_expand, assoc_propose,
-    trust_update, trust_board, trust_shift, bfs_crawl, robots_filter, feed_parse, feed_source, feed_stream, search_source, json_recover, registry_load, title_near_dup, upsert_merge, bucket_upsert, role_upsert, merge_relationships, lineage_rebuild, stream_ingest, event_windows, event_sessions,
+    trust_update, trust_board, trust_shift, bfs_crawl, robots_filter, feed_parse, feed_budget, feed_budget_tight, feed_source, feed_stream, search_source, json_recover, registry_load, title_near_dup, upsert_merge, bucket_upsert, role_upsert, merge_relationships, lineage_rebuild, stream_ingest, event_windows, event_sessions,
     fts_search, fts_stemmed, fts_page, fts_upsert, fts_column, fts_range, range_filter, context_totals,
 )}

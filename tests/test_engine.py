@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from newsloom.api import News
 from newsloom.functions import recover, stem
-from newsloom.operators import context, crawl, identity, intersection, keywords, lineage, search, trust
+from newsloom.operators import budget, context, crawl, identity, intersection, keywords, lineage, search, trust
 from newsloom.sources import feeds, registry
 from newsloom.storage import fresh_path
 from newsloom.streaming import ingest, windows
@@ -367,3 +367,31 @@ def test_propose_by_vectors(spark):
     x = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.95, 0.2]), (3, [0.0, 1.0]), (4, [1.0, 0.0])], "id long, x array<double>")
     got = identity.propose(rows, vectors=x).collect()
     assert [(r.a, r.b) for r in got] == [(1, 2)] and got[0].cosine > 0.9
+
+
+def test_readers_see_one_run(spark, sf, tmp_path):
+    base = spark.createDataFrame([("src1", 0.5)], "source_id string, trust double")
+    news = News(spark, sf, base, 1704326400, str(tmp_path / "store"))
+    with pytest.raises(FileNotFoundError):
+        news.published("brief")
+    news.run()
+    first = {n: _rows(news.published(n), *news.published(n).columns) for n in ("narratives", "links", "trust", "brief")}
+    assert len(first["narratives"]) > 10 and len(first["brief"]) == 8
+    broken = News(spark, sf, base, 1704326400, str(tmp_path / "store"))
+    broken.update_trust = lambda: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        broken.run(most_stories=3)
+    assert VersionedTable(spark, str(tmp_path / "store/narratives")).read().count() == 3
+    assert {n: _rows(news.published(n), *news.published(n).columns) for n in first} == first
+    news.run(most_stories=5)
+    assert news.published("narratives").count() == 5 and news.published("brief").count() == 5
+    with pytest.raises(FileNotFoundError):
+        news.published("summaries")
+
+
+def test_budgets(spark):
+    rows = spark.createDataFrame([(i, f"s{i % 3}") for i in range(30)] + [(99, None), (100, "t")], "article_id long, source_id string")
+    take = lambda most: [tuple(r) for r in budget.within_budget(rows, most).orderBy("source_id", "article_id").collect()]
+    assert take(8) == [(0, "s0"), (3, "s0"), (1, "s1"), (4, "s1"), (2, "s2"), (5, "s2"), (100, "t")]
+    assert take(2) == [(0, "s0"), (1, "s1")] and take(0) == [] and len(take(1000)) == 31
+    assert budget.within_budget(rows.limit(0), 5).count() == 0
