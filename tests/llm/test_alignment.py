@@ -36,20 +36,25 @@ def brute(rows: list[tuple], tools) -> list[tuple]:
             (a.encode(" " + text, add_special_tokens=False).ids, lambda i: bytes(byte_of[c] for c in a.id_to_token(i))),
             (b.encode(text), lambda i: bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()),
         ):
-            ends, at = {}, 0
+            ends, at = [], 0
             for i in ids:
                 assert (x := bytes_of(i))
                 if whole[at : at + len(x)] != x:
                     return []
                 at += len(x)
-                ends[at] = i
+                ends.append((at, i))
             if at != len(whole):
                 return []
             sides.append(ends)
-        out, cut = [], 0
-        for end in sorted(sides[0].keys() & sides[1].keys()):
-            out.append(tuple([i for e, i in s.items() if cut < e <= end] for s in sides))
-            cut = end
+        out, at = [], [0, 0]
+        for end in sorted({e for e, _ in sides[0]} & {e for e, _ in sides[1]}):
+            group = []
+            for k, ends in enumerate(sides):
+                first = at[k]
+                while at[k] < len(ends) and ends[at[k]][0] <= end:
+                    at[k] += 1
+                group.append([i for _, i in ends[first : at[k]]])
+            out.append(tuple(group))
         return out
 
     found = [(i, groups(t)) for i, t in rows]
