@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
+from newsloom.operators import overlap
 from newsloom.operators.graph import connected_components
 from newsloom.storage import materialize, state, table
 
@@ -58,17 +59,16 @@ def linked(role_rows: DataFrame, n_articles: int) -> DataFrame:
     """``(a, b)``: links that make the components of ``shared_pairs``, from groups of equal articles to one of each.
 
     Articles with the same set of frequent roles, two at least, are one group: its members link to its smallest, and
-    only that one meets others. So a text that is copied through a fifth of the corpus makes a row for each copy, not a
-    pair for each two.
+    only that one meets others, by ``overlap.links``. So neither a text that is copied through a fifth of the corpus nor
+    a role that unequal articles have in common makes a pair for each two of them. Roles are compared by 128-bit digests.
     """
     own = frequent_cut(role_rows, n_articles).select("article_id", "norm")
     sets = own.groupBy("article_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("norm")), "\n"), 256).alias("same"), F.count("*").alias("k"))
     sets = materialize(sets.where(F.col("k") >= MIN_SHARED), "role-sets", free=False)
     first = sets.groupBy("same").agg(F.min("article_id").alias("first"))
     copies = sets.join(first, "same").where("article_id <> first").select(F.col("first").alias("a"), F.col("article_id").alias("b"))
-    kept = materialize(own.join(first.select(F.col("first").alias("article_id")), "article_id", "left_semi").select("article_id", "norm"), "role-rows", free=False)
-    left, right = kept.select("norm", F.col("article_id").alias("a")), kept.select("norm", F.col("article_id").alias("b"))
-    pairs = left.join(right, "norm").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SHARED)
+    kept = own.join(first.select(F.col("first").alias("article_id")), "article_id", "left_semi")
+    pairs = overlap.links(kept.select("article_id", F.unhex(F.md5("norm")).alias("key")))
     return pairs.select("a", "b").unionByName(copies)
 
 
