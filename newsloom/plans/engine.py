@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions import recover
+from newsloom.functions import page, recover
 from newsloom.functions import text as T
 from newsloom.keyed import KeyedTable, role_dimension, role_references
 from newsloom.operators import browse, budget, context, crawl, identity, incremental, intersection, inverted, lineage, search, trust
@@ -292,6 +292,21 @@ def search_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.search_articles(got).select("url", "title", "source_id")
 
 
+def page_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", F.size(page.blocks(html)).cast("long").alias("n_blocks"), page.main_text(html).alias("text"))
+
+
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with tags and an object as other sites write them, made of the page's own columns."""
+    tags = F.concat(
+        F.lit("<META content='By &quot;"), T.domain(F.col("url")), F.lit("&quot;' name=author><meta name=\"Author\" content=\""), T.domain(F.col("url")),
+        F.lit('"><script type="application/ld+json">{"datePublished": "2024-01-0'), (F.col("page_id") % 9 + 1).cast("string"), F.lit('", "publisher": {"name": "P'), F.col("page_id").cast("string"), F.lit('"}}</script>'),
+    )
+    rows = table(spark, sf_dir, "pages").select("page_id", page.metadata(F.concat("html", tags)).alias("m"))
+    return rows.select("page_id", "m.title", "m.author", "m.published", "m.site", "m.image")
+
+
 def feed_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The articles that a run of a hundred takes, from all feeds alike."""
     return budget.within_budget(lineage.articles(spark, sf_dir).select("article_id", "source_id"), 100)
@@ -470,6 +485,11 @@ _TERMS = f"""tok AS (SELECT article_id, unnest(ws) AS term, len(ws) AS length FR
     tf AS (SELECT article_id, term, count(*) AS tf FROM tok WHERE term IN ('the', 'thing', 'license', 'une') GROUP BY 1, 2),
     idf AS (SELECT term, CASE WHEN i > 0 THEN i ELSE 1e-6 END AS idf FROM (SELECT term, ln(((SELECT count(*) FROM doc) - count(*) + 0.5) / (count(*) + 0.5)) AS i FROM tf GROUP BY 1)),
     hit AS (SELECT article_id, round(-sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (SELECT avg(length) FROM doc)))), 6) AS score FROM tf JOIN idf USING (term) JOIN doc USING (article_id) GROUP BY 1)"""
+_PLAIN = "{}"
+for _name, _sign in page.ENTITIES:
+    _PLAIN = f"replace({_PLAIN}, '{_name.replace(chr(39), chr(39) * 2)}', '{_sign.replace(chr(39), chr(39) * 2)}')"
+_PLAIN = f"trim(regexp_replace({_PLAIN}, '[ \\t\\r\\n\u00a0]+', ' ', 'g'))"
+_HOST = r"lower(regexp_extract({}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
 _TEXT = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))"
 
 _INDEXED = f"""fields AS (SELECT article_id, title AS t, CASE WHEN article_id % 3 = 1 THEN 'license thing ' || text ELSE text END AS x, source_id AS s FROM article WHERE article_id % 7 <> 0),
@@ -518,6 +538,16 @@ OVER_VIEWS = {
     "fts_page": f"WITH RECURSIVE {_TERMS}, own AS (SELECT h.* FROM hit h JOIN article a ON a.article_id = h.article_id WHERE event_ts >= '2024-01-03' AND event_ts < '2024-01-04') SELECT article_id, (SELECT count(*) FROM own) AS total, CAST(ceil((SELECT count(*) FROM own) / 10.0) AS INT) AS total_pages FROM own ORDER BY score, article_id LIMIT 10 OFFSET 10",
     "fts_upsert": f"WITH RECURSIVE {_INDEXED.replace('ASKED', 't || x || s')} SELECT h.article_id, score, title, source_id FROM (SELECT * FROM hit ORDER BY score, article_id LIMIT 20) h JOIN article USING (article_id)",
     "fts_column": f"WITH RECURSIVE {_INDEXED.replace('ASKED', 't')} SELECT * FROM hit ORDER BY score, article_id LIMIT 20",
+    "page_main": f"""WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(html, chr(1) || chr(2), ''), '{page.GONE}', ' ', 'g'),
+        '{page.LINK}', chr(1), 'g'), '{page.LINK_END}', chr(2), 'g'), '{page.BREAK}', ' ', 'g') AS t FROM pages),
+        part AS (SELECT page_id, generate_subscripts(x, 1) AS i, regexp_replace(unnest(x), '<[^>]*>', '', 'g') AS raw FROM (SELECT page_id, regexp_split_to_array(t, '{page.BLOCK}') AS x FROM bare)),
+        block AS (SELECT page_id, i, {_PLAIN.format("translate(raw, chr(1) || chr(2), '')")} AS text, {_PLAIN.format("replace(array_to_string(regexp_extract_all(raw, chr(1) || '[^' || chr(2) || ']*'), ' '), chr(1), '')")} AS links FROM part),
+        n AS (SELECT *, len(string_split(text, ' ')) AS w, CASE links WHEN '' THEN 0 ELSE len(string_split(links, ' ')) END / len(string_split(text, ' ')) AS d FROM block WHERE text <> ''),
+        near AS (SELECT *, coalesce(lag(w) OVER o, 0) AS pw, coalesce(lag(d) OVER o, 0) AS pd, coalesce(lead(w) OVER o, 0) AS nw FROM n WINDOW o AS (PARTITION BY page_id ORDER BY i)),
+        kept AS (SELECT page_id, count(*) AS n_blocks, string_agg(text, chr(10) ORDER BY i) FILTER (d <= 1 / 3 AND CASE WHEN pd <= 5 / 9 THEN w > 16 OR nw > 15 OR pw > 4 ELSE w > 40 OR nw > 17 END) AS text FROM near GROUP BY 1)
+        SELECT page_id, coalesce(n_blocks, 0) AS n_blocks, coalesce(text, '') AS text FROM pages LEFT JOIN kept USING (page_id)""",
+    "page_metadata": f"""SELECT page_id, nullif({_PLAIN.format("regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g')")}, '') AS title, {_HOST.format('url')} AS author,
+        '2024-01-0' || (page_id % 9 + 1) AS published, 'P' || page_id AS site, CAST(NULL AS VARCHAR) AS image FROM pages""",
     "feed_budget": _BUDGET.replace("MOST", "100"),
     "feed_budget_tight": _BUDGET.replace("MOST", "7"),
     "feed_source": "SELECT source_id, title AS text, 'http://n/' || article_id AS url, title FROM article WHERE title <> '' AND source_id IS NOT NULL",
@@ -554,6 +584,6 @@ PLAIN = {
 
 QUERIES = {f.__name__: f for f in (
     role_match, intersect_all, intersect_any, intersect_min_trust, narrative_trust, narrative_rows, narratives_incremental, narrative_sorts, narrative_ranges, narrative_screen, narrative_role_union, role_stories, merge_roles, merge_bridge, merge_associations, merge_dedup_obs, assoc_groups, assoc_expand, assoc_propose,
-    trust_update, trust_board, trust_shift, bfs_crawl, robots_filter, feed_parse, feed_budget, feed_budget_tight, feed_source, feed_stream, search_source, json_recover, registry_load, title_near_dup, upsert_merge, bucket_upsert, role_upsert, merge_relationships, lineage_rebuild, stream_ingest, event_windows, event_sessions,
+    trust_update, trust_board, trust_shift, bfs_crawl, robots_filter, page_main, page_metadata, feed_parse, feed_budget, feed_budget_tight, feed_source, feed_stream, search_source, json_recover, registry_load, title_near_dup, upsert_merge, bucket_upsert, role_upsert, merge_relationships, lineage_rebuild, stream_ingest, event_windows, event_sessions,
     fts_search, fts_stemmed, fts_page, fts_upsert, fts_column, fts_range, range_filter, context_totals,
 )}
