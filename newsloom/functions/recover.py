@@ -3,7 +3,7 @@
 import difflib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -63,16 +63,37 @@ def alike(a: Column, b: Column) -> Column:
     return F.pandas_udf(run, "double")(a, b)
 
 
+def near(title: str, known: Iterable[str], least: float = ALIKE) -> bool:
+    """Whether a text is at least so alike to one of the known ones. Lengths and letters bound the likeness first."""
+    match = difflib.SequenceMatcher(None, title)
+    for other in known:
+        if 2 * min(len(title), len(other)) >= least * (len(title) + len(other)):
+            match.set_seq2(other)
+            if match.quick_ratio() >= least and match.ratio() >= least:
+                return True
+    return False
+
+
+def _near(a: Column, b: Column, least: float) -> Column:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in batches:
+            yield pd.Series([near(p, [q], least) for p, q in zip(x, y, strict=True)], dtype="bool")
+
+    return F.pandas_udf(run, "boolean")(a, b)
+
+
 def new_titles(rows: DataFrame, known: DataFrame, least: float = ALIKE, most: int = TITLES) -> DataFrame:
     """The rows (id, source_id, title, ...) without a similar title among their source's first ``most`` known ones.
 
     ``known`` is (source_id, title, at); a title is compared in lower case, and a row without one is new. Each row meets
-    at most ``most`` titles, which is the feature, so pairs stay in proportion to the rows.
+    at most ``most`` titles, which is the feature, so pairs stay in proportion to the rows; those whose lengths are too
+    far apart never reach the comparison.
     """
     first = Window.partitionBy("source_id").orderBy("at", "title")
     titles = known.where("title <> ''").withColumn("k", F.row_number().over(first)).where(F.col("k") <= most)
     old = titles.select("source_id", F.col("title").alias("other"))
     pairs = rows.where("title <> ''").join(old, "source_id").select("id", "title", "other")
-    fold = lambda c: F.lower(F.trim(c))
-    same = pairs.where(alike(fold(F.col("title")), fold(F.col("other"))) >= least).select("id").distinct()
+    pairs = pairs.select("id", F.lower(F.trim("title")).alias("a"), F.lower(F.trim("other")).alias("b"))
+    long = F.length("a") + F.length("b")
+    same = pairs.where(2 * F.least(F.length("a"), F.length("b")) >= least * long).where(_near(F.col("a"), F.col("b"), least)).select("id").distinct()
     return rows.join(same, "id", "left_anti")
