@@ -13,7 +13,7 @@ from newsloom.plans.views import norm_sql, trust_of
 from newsloom.session import shuffle_width
 from newsloom.sources import feeds, registry, remote
 from newsloom.storage import fresh_path, table
-from newsloom.streaming import ingest, windows
+from newsloom.streaming import gate, ingest, windows
 from newsloom.versioned import VersionedTable, rebuild
 
 #: "Now" of the entries: the third day of the events, since documents have the first ones.
@@ -401,6 +401,20 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target.read().select("url", F.length("text").cast("long").alias("n_chars"))
 
 
+def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over feeds that are the documents' sources; the second polls the same articles again."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.col("source").alias("source_id"), F.concat(F.lit("http://x/"), "doc_id").alias("url"), F.lit(None).cast("string").alias("title"), "text", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("at"))
+    source, target = fresh_path(spark, "polls"), VersionedTable(spark, fresh_path(spark, "gated"))
+    checkpoint = fresh_path(spark, "checkpoint")
+    names = [r[0] for r in docs.where("source IS NOT NULL").select("source").distinct().collect()]
+    for run in range(2):
+        rows.write.mode("append").json(source)
+        polled = spark.readStream.schema(rows.schema).json(source)
+        gate.follow_feeds(polled, target, checkpoint, names, 60, run).awaitTermination()
+    return target.read().select("source_id", "url", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = windows.counts(rows, "ts", ["event_type"], "1 day", "12 hours")
@@ -577,6 +591,9 @@ PLAIN = {
     "bucket_upsert": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 7 <> 0",
     "stream_ingest": f"SELECT url, max(length(t)) AS n_chars FROM (SELECT url, {_TEXT} AS t FROM pages) WHERE length(t) >= 40 AND NOT regexp_matches(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), 'msn\\.(com|co\\.uk|es|fr|it|de)') GROUP BY 1",
     "event_windows": "SELECT CAST(epoch(s) AS BIGINT) AS start_sec, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL '12 hours', ts), time_bucket(INTERVAL '12 hours', ts) - INTERVAL '12 hours']) AS s FROM events) GROUP BY 1, 2",
+    "stream_gate": r"""WITH n AS (SELECT count(DISTINCT source) AS n FROM documents), ok AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents
+        WHERE source IS NOT NULL AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 40)
+        SELECT source AS source_id, 'http://x/' || doc_id AS url, length(text) AS n_chars FROM ok, n WHERE k <= 200 // n + 60 // n""",
     "event_sessions": """WITH e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events), g AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s) < 21600 THEN 0 ELSE 1 END AS new FROM e),
         k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS part FROM g) SELECT min(s) AS start_sec, max(s) + 21600 AS end_sec, user_id, count(*) AS n FROM k GROUP BY user_id, part""",
     "range_filter": "WITH d AS (SELECT CAST(ts AS DATE) AS d FROM events) SELECT range, n FROM (SELECT 'today' AS range, count(*) AS n FROM d WHERE d >= DATE '2024-01-20' UNION ALL SELECT 'yesterday', count(*) FROM d WHERE d = DATE '2024-01-19' UNION ALL SELECT 'last_week', count(*) FROM d WHERE d >= DATE '2024-01-13' UNION ALL SELECT 'last_month', count(*) FROM d WHERE d >= DATE '2023-12-21' UNION ALL SELECT 'last_year', count(*) FROM d WHERE d >= DATE '2023-01-20' UNION ALL SELECT 'all', count(*) FROM d)",
@@ -584,6 +601,6 @@ PLAIN = {
 
 QUERIES = {f.__name__: f for f in (
     role_match, intersect_all, intersect_any, intersect_min_trust, narrative_trust, narrative_rows, narratives_incremental, narrative_sorts, narrative_ranges, narrative_screen, narrative_role_union, role_stories, merge_roles, merge_bridge, merge_associations, merge_dedup_obs, assoc_groups, assoc_expand, assoc_propose,
-    trust_update, trust_board, trust_shift, bfs_crawl, robots_filter, page_main, page_metadata, feed_parse, feed_budget, feed_budget_tight, feed_source, feed_stream, search_source, json_recover, registry_load, title_near_dup, upsert_merge, bucket_upsert, role_upsert, merge_relationships, lineage_rebuild, stream_ingest, event_windows, event_sessions,
+    trust_update, trust_board, trust_shift, bfs_crawl, robots_filter, page_main, page_metadata, feed_parse, feed_budget, feed_budget_tight, feed_source, feed_stream, search_source, json_recover, registry_load, title_near_dup, upsert_merge, bucket_upsert, role_upsert, merge_relationships, lineage_rebuild, stream_ingest, stream_gate, event_windows, event_sessions,
     fts_search, fts_stemmed, fts_page, fts_upsert, fts_column, fts_range, range_filter, context_totals,
 )}
