@@ -21,19 +21,24 @@ def near_in_time(rows: DataFrame, hours: int, least: float | None = None) -> Dat
     """``(a, b, label_a, label_b, cos)`` of the pairs at most so many hours apart, a < b; those of ``least`` or more alone if given.
 
     An interval join as an equi-join: time is cut into windows of that length, the left side is in its own and the
-    right side in its own and both neighbours, so a pair meets exactly once and no window meets all others. A full
-    window is dealt into blocks, and each two blocks meet in a group of their own, as one product of two matrices, so no
-    group grows with the table. The pairs themselves are as many as the windows hold.
+    right side in its own and both neighbours, so a pair meets exactly once and no window meets all others. Each window
+    is dealt into as many blocks as its own rows ask for, and each two blocks meet in a group of their own, as one
+    product of two matrices, so no group grows with the table and a full window makes no copies of others' vectors. The
+    pairs themselves are as many as the windows hold.
     """
     width = hours * 3600
     rows = rows.withColumn("w", F.floor(F.col("sec") / width))
-    most = rows.groupBy("w").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    blocks = max(1, -(-most // BLOCK))
-    all_of, mine = F.sequence(F.lit(0), F.lit(blocks - 1)), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    there = rows.groupBy("w").agg(F.count("*").alias("n"))
+    around = there.select(F.explode(F.array(F.col("w") - 1, F.col("w"), F.col("w") + 1)).alias("w"), F.col("n").alias("m")).groupBy("w").agg(F.sum("m").alias("m"))
+    in_blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    size = there.join(around, "w").select("w", in_blocks("n").alias("n_left"), in_blocks("m").alias("n_right"))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     plain = ["id", "label", "sec", "x"]
-    left = rows.select(*plain, "w", mine.alias("i"), F.explode(all_of).alias("j"))
+    left = rows.select(*plain, "w").join(size, "w").select(*plain, "w", own("n_left").alias("i"), each("n_right").alias("j"))
     # New columns for the right side: Spark cannot tell those of one frame in both groups apart.
-    right = rows.select(*[F.expr(f"{c} AS {c}") for c in plain], F.explode(F.array(F.col("w") - 1, F.col("w"), F.col("w") + 1)).alias("w"), mine.alias("j")).withColumn("i", F.explode(all_of))
+    right = rows.select(*[F.expr(f"{c} AS {c}") for c in plain], F.explode(F.array(F.col("w") - 1, F.col("w"), F.col("w") + 1)).alias("w"))
+    right = right.join(size, "w").select(*plain, "w", each("n_left").alias("i"), own("n_right").alias("j"))
 
     def opened(t: pa.Table) -> tuple:
         x = t.column("x").combine_chunks()
