@@ -53,6 +53,11 @@ def recover_json(text: Column) -> Column:
     return F.pandas_udf(run, "string")(text)
 
 
+def role_text(answer: Column, role: str) -> Column:
+    """What a model's JSON answer says of a role, at its top or under ``paragraph``; of a list the first; else null."""
+    return F.coalesce(*[F.get_json_object(answer, f"$.{at}{role}{first}") for at in ("", "paragraph.") for first in ("[0]", "")])
+
+
 def alike(a: Column, b: Column) -> Column:
     """Ratcliff-Obershelp similarity of two texts, the first one's place being the first."""
 

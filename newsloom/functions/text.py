@@ -114,6 +114,12 @@ def video_embed(url: Column) -> Column:
     return F.when(yt != "", F.concat(F.lit("https://www.youtube.com/embed/"), yt)).when(ru != "", F.concat(F.lit("https://rumble.com/embed/"), ru))
 
 
+def thumbnail(found: Column) -> Column:
+    """The first picture of a search result (JSON) that is an address: its image source, thumbnail or image; else null."""
+    own = [F.get_json_object(found, f"$.{k}") for k in ("img_src", "thumbnail", "image")]
+    return F.coalesce(*[F.when(x.startswith("http"), x) for x in own])
+
+
 def visible_text(html: Column) -> Column:
     """The page without scripts, styles and tags, spaces collapsed."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")

@@ -83,7 +83,11 @@ SQL = {
     # Sinks, sets, graph export
     "url_dedup": "SELECT p.page_id, p.url FROM pages p LEFT JOIN (SELECT url AS seen FROM pages WHERE page_id % 3 = 0) s ON p.url = s.seen WHERE s.seen IS NULL",
     "search_results": "SELECT page_id, url FROM (SELECT page_id, url, row_number() OVER (PARTITION BY url ORDER BY page_id) AS k FROM pages WHERE url LIKE 'http%') x WHERE k = 1",
-    "feed_overlay": "SELECT coalesce(r.source_id, l.source_id) AS source_id, coalesce(r.feed, l.feed) AS feed FROM (SELECT 'reuters' AS source_id, 'http://a/1' AS feed UNION ALL SELECT 'npr', 'http://a/2') l FULL JOIN (SELECT 'npr' AS source_id, 'http://b/2' AS feed UNION ALL SELECT 'blog', 'http://b/3') r ON l.source_id = r.source_id",
+    "feed_overlay": """SELECT coalesce(r.source_id, l.source_id) AS source_id, coalesce(r.feed, l.feed) AS feed
+        FROM (SELECT source_id, 'http://cfg/?first=' || min(article_id) AS feed FROM article GROUP BY source_id) l
+        FULL JOIN (SELECT trim(substr(g, 1, instr(g, '=') - 1)) AS source_id, trim(substr(g, instr(g, '=') + 1)) AS feed
+            FROM (SELECT source_id || CASE WHEN min(article_id) % 2 = 0 THEN '' ELSE '_new' END || '= http://cli/?last=' || max(article_id) AS g FROM article GROUP BY source_id) x WHERE instr(g, '=') > 0) r
+        ON l.source_id = r.source_id""",
     "seed_union": "SELECT url FROM pages UNION ALL SELECT 'http://example.com/' AS url",
     "graph_nodes": "SELECT concat('a', CAST(article_id AS STRING)) AS id, 'article' AS kind FROM article UNION ALL SELECT DISTINCT role_id AS id, 'role' AS kind FROM role UNION ALL SELECT DISTINCT source_id AS id, 'source' AS kind FROM article ",
     "graph_edges": "SELECT concat('a', CAST(article_id AS STRING)) AS src, role_id AS dst, 'child' AS kind FROM role UNION ALL SELECT concat('a', CAST(article_id AS STRING)) AS src, source_id AS dst, 'source' AS kind FROM article ",

@@ -3,9 +3,10 @@
 These use scalar functions or joins that the two engines spell differently; what both spell alike is in ``catalogue``.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions import recover
 from newsloom.functions import text as T
 from newsloom.operators import boundary, keywords, lineage
 from newsloom.operators.graph import connected_components
@@ -185,30 +186,43 @@ def keyword_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keywords.phrases(lineage.articles(spark, sf_dir), 30)
 
 
-_LITERAL = {
-    "author_meta": ("s", ("19 hours ago | NBC News", "World", None, "a | b | c", "|"), lambda s: T.author(s)),
-    "video_embed": ("s", ("https://youtube.com/watch?v=ab-1", "https://youtu.be/x_y", "https://rumble.com/v12-a.html", "https://rumble.com/embed/v9", "https://a.b/c"), lambda s: T.video_embed(s)),
-    "role_json": ("s", ('{"who": "Ann"}', '{"paragraph": {"who": "Bob"}}', '{"who": ["Cy", "Di"]}', "{}", "no json"), lambda s: F.coalesce(
-        F.get_json_object(s, "$.who[0]"), F.get_json_object(s, "$.who"), F.get_json_object(s, "$.paragraph.who[0]"), F.get_json_object(s, "$.paragraph.who"))),
-    "thumbnail": ("s", ('{"img_src": "http://a/1", "image": "http://a/2"}', '{"img_src": "data:x", "thumbnail": "https://a/3"}', '{"image": "http://a/4"}', "{}"), lambda s: F.coalesce(
-        *[F.when(F.get_json_object(s, f"$.{k}").startswith("http"), F.get_json_object(s, f"$.{k}")) for k in ("img_src", "thumbnail", "image")])),
-}
+def _in_turn(number: Column, *values: Column | str | None) -> Column:
+    """One of the values for each row, by its number."""
+    out = F.lit(None).cast("string")
+    for i, v in enumerate(values):
+        out = F.when(number % len(values) == i, v if isinstance(v, Column) else F.lit(v)).otherwise(out)
+    return out
+
 
+def author_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bylines as search results write them, of the documents' sources and languages."""
+    line = _in_turn(F.col("doc_id"), F.concat(F.col("lang"), F.lit(" hours ago | "), F.col("source")), F.col("source"), None, F.concat(F.lit("a | "), F.col("lang"), F.lit(" | "), F.col("source"), F.lit(" ")), "|")
+    return table(spark, sf_dir, "documents").select("doc_id", T.author(line).alias("author"))
 
-def _literal(name: str):
-    column, values, function = _LITERAL[name]
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"k long, {column} string")
-        return rows.select("k", function(F.col(column)).alias("value"))
+def video_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number, made = F.col("page_id"), lambda a, b: F.concat(F.lit(a), F.col("page_id").cast("string"), F.lit(b))
+    url = _in_turn(number, made("https://youtube.com/watch?v=ab-", "&t=3"), made("https://youtu.be/x_", ""), made("https://rumble.com/v", "-a.html"), made("https://rumble.com/embed/v", "/?pub=4"), F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", T.video_embed(url).alias("embed"))
 
-    return run
 
+def role_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a model, flat, nested, as lists, empty and without an object, of the documents' sources and languages."""
+    source, lang = F.col("source"), F.col("lang")
+    answer = _in_turn(
+        F.col("doc_id"), F.to_json(F.struct(source.alias("who"))), F.to_json(F.struct(F.struct(source.alias("who"), lang.alias("what")).alias("paragraph"))),
+        F.concat(F.lit("<think>{}</think> So: "), F.to_json(F.struct(F.array(lang, source).alias("who")))), F.to_json(F.struct(F.struct(F.array(source, lang).alias("who")).alias("paragraph"))), "{}", "no object",
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", recover.role_text(recover.recover_json(answer), "who").alias("who"))
 
-def _values(*out: str | None) -> str:
-    """The expected answers themselves: these entries have fixed inputs."""
-    rows = ", ".join(f"({i}, {'NULL' if v is None else repr(v)})" for i, v in enumerate(out))
-    return f"SELECT CAST(k AS BIGINT) AS k, CAST(value AS VARCHAR) AS value FROM (VALUES {rows}) t(k, value)"
+
+def thumbnail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    found = _in_turn(
+        F.col("page_id"), F.to_json(F.struct(url.alias("img_src"), F.lit("http://a/2").alias("image"))), F.to_json(F.struct(F.lit("data:x").alias("img_src"), url.alias("thumbnail"))),
+        F.to_json(F.struct(F.lit("").alias("thumbnail"), url.alias("image"))), "{}",
+    )
+    return table(spark, sf_dir, "pages").select("page_id", T.thumbnail(found).alias("picture"))
 
 
 _NEAR = "near AS (SELECT p.id AS a, q.id AS b, p.label AS la, q.label AS lb, abs(p.sec - q.sec) AS apart, round(list_dot_product(p.x, q.x) / (sqrt(list_dot_product(p.x, p.x)) * sqrt(list_dot_product(q.x, q.x)) + 1e-10), 6) AS cos FROM dated p JOIN dated q ON p.id < q.id AND abs(p.sec - q.sec) <= 172800 )"
@@ -244,10 +258,10 @@ PLAIN = {
     "knn": _KNN,
     "knn_trust": f"SELECT * FROM (SELECT vec_id, label, cos, round(0.5 + 0.02 * (label % 20), 6)::DOUBLE AS trust FROM ( {_KNN} )) WHERE trust >= 0.56",
     "assoc_assert": "SELECT substr(sha256('assoc:what:' || least(c_custkey, c_nationkey + 1000000) || ':' || greatest(c_custkey, c_nationkey + 1000000)), 1, 16) AS figment_id, CAST(CASE WHEN c_custkey % 2 = 0 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence FROM customer",
-    "author_meta": _values("NBC News", "", "", "c", ""),
-    "video_embed": _values("https://www.youtube.com/embed/ab-1", "https://www.youtube.com/embed/x_y", "https://rumble.com/embed/v12-a", "https://rumble.com/embed/v9", None),
-    "role_json": _values("Ann", "Bob", "Cy", None, None),
-    "thumbnail": _values("http://a/1", "https://a/3", "http://a/4", None),
+    "author_meta": "SELECT doc_id, coalesce(CASE WHEN doc_id % 5 IN (0, 3) THEN trim(source) END, '') AS author FROM documents",
+    "video_embed": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://www.youtube.com/embed/ab-' || page_id WHEN 1 THEN 'https://www.youtube.com/embed/x_' || page_id WHEN 2 THEN 'https://rumble.com/embed/v' || page_id || '-a' WHEN 3 THEN 'https://rumble.com/embed/v' || page_id END AS embed FROM pages",
+    "role_json": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN source WHEN 1 THEN source WHEN 2 THEN lang WHEN 3 THEN source END AS who FROM documents",
+    "thumbnail": "SELECT page_id, CASE WHEN page_id % 4 < 3 AND url LIKE 'http%' THEN url END AS picture FROM pages",
 }
 OVER_VIEWS = {
     "normalize_entity": "SELECT article_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(title)), '^(" + "|".join(T.HONORIFICS) + r")\.?\s*', ''), '''s\b', '', 'g'), 's''\b', 's', 'g'), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')) AS norm FROM article ",
@@ -267,4 +281,4 @@ OVER_VIEWS = {
 QUERIES = {f.__name__: f for f in (
     parse_time, search_date, feed_date_filter, page_extract, page_links, og_image, url_domain, html_escape, ingest_gate, ingest_file, normalize_entity, normalize_source, boilerplate,
     context_paragraphs, context_text, boundary_pairs, boundary_clusters, frame_shift, rank_frame, knn, knn_trust, label_merge, label_split, assoc_assert, keyword_ngrams,
-)} | {name: _literal(name) for name in _LITERAL}
+)} | {f.__name__: f for f in (author_meta, video_embed, role_json, thumbnail)}
