@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions import page, recover
+from newsloom.functions import hooks, page, recover
 from newsloom.functions import text as T
 from newsloom.keyed import KeyedTable, role_dimension, role_references
 from newsloom.operators import browse, budget, context, crawl, identity, incremental, intersection, inverted, lineage, search, trust
@@ -292,6 +292,16 @@ def search_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.search_articles(got).select("url", "title", "source_id")
 
 
+def _labeler() -> hooks.Model:
+    words = {"en": " the ", "de": " der ", "fr": " les ", "es": " que "}
+    return lambda texts: [next((k for k, w in words.items() if w in t), "none") for t in texts]
+
+
+def label_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A labelling hook over the documents, loaded once by each worker."""
+    return hooks.Hook(_labeler).apply(table(spark, sf_dir, "documents"), "text", "label").select("doc_id", "label", "label_error")
+
+
 def page_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.col("html")
     return table(spark, sf_dir, "pages").select("page_id", F.size(page.blocks(html)).cast("long").alias("n_blocks"), page.main_text(html).alias("text"))
@@ -552,6 +562,7 @@ OVER_VIEWS = {
     "fts_page": f"WITH RECURSIVE {_TERMS}, own AS (SELECT h.* FROM hit h JOIN article a ON a.article_id = h.article_id WHERE event_ts >= '2024-01-03' AND event_ts < '2024-01-04') SELECT article_id, (SELECT count(*) FROM own) AS total, CAST(ceil((SELECT count(*) FROM own) / 10.0) AS INT) AS total_pages FROM own ORDER BY score, article_id LIMIT 10 OFFSET 10",
     "fts_upsert": f"WITH RECURSIVE {_INDEXED.replace('ASKED', 't || x || s')} SELECT h.article_id, score, title, source_id FROM (SELECT * FROM hit ORDER BY score, article_id LIMIT 20) h JOIN article USING (article_id)",
     "fts_column": f"WITH RECURSIVE {_INDEXED.replace('ASKED', 't')} SELECT * FROM hit ORDER BY score, article_id LIMIT 20",
+    "label_hook": "SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN contains(text, ' the ') THEN 'en' WHEN contains(text, ' der ') THEN 'de' WHEN contains(text, ' les ') THEN 'fr' WHEN contains(text, ' que ') THEN 'es' ELSE 'none' END AS label, CAST(NULL AS VARCHAR) AS label_error FROM documents",
     "page_main": f"""WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(html, chr(1) || chr(2), ''), '{page.GONE}', ' ', 'g'),
         '{page.LINK}', chr(1), 'g'), '{page.LINK_END}', chr(2), 'g'), '{page.BREAK}', ' ', 'g') AS t FROM pages),
         part AS (SELECT page_id, generate_subscripts(x, 1) AS i, regexp_replace(unnest(x), '<[^>]*>', '', 'g') AS raw FROM (SELECT page_id, regexp_split_to_array(t, '{page.BLOCK}') AS x FROM bare)),
@@ -601,6 +612,6 @@ PLAIN = {
 
 QUERIES = {f.__name__: f for f in (
     role_match, intersect_all, intersect_any, intersect_min_trust, narrative_trust, narrative_rows, narratives_incremental, narrative_sorts, narrative_ranges, narrative_screen, narrative_role_union, role_stories, merge_roles, merge_bridge, merge_associations, merge_dedup_obs, assoc_groups, assoc_expand, assoc_propose,
-    trust_update, trust_board, trust_shift, bfs_crawl, robots_filter, page_main, page_metadata, feed_parse, feed_budget, feed_budget_tight, feed_source, feed_stream, search_source, json_recover, registry_load, title_near_dup, upsert_merge, bucket_upsert, role_upsert, merge_relationships, lineage_rebuild, stream_ingest, stream_gate, event_windows, event_sessions,
+    trust_update, trust_board, trust_shift, bfs_crawl, robots_filter, page_main, page_metadata, label_hook, feed_parse, feed_budget, feed_budget_tight, feed_source, feed_stream, search_source, json_recover, registry_load, title_near_dup, upsert_merge, bucket_upsert, role_upsert, merge_relationships, lineage_rebuild, stream_ingest, stream_gate, event_windows, event_sessions,
     fts_search, fts_stemmed, fts_page, fts_upsert, fts_column, fts_range, range_filter, context_totals,
 )}
