@@ -235,6 +235,12 @@ def test_windows_of_a_stream_equal_those_of_a_table(spark, tmp_path):
     assert sorted(r.n for r in gaps.collect()) == [1, 2]
 
 
+def test_rows_a_whole_gap_apart_are_two_sessions(spark):
+    rows = spark.createDataFrame([(1, 0), (1, 59), (1, 119), (2, 7)], "k long, s long").select("k", F.timestamp_seconds("s").alias("ts"))
+    got = windows.sessions(rows, "ts", ["k"], "60 seconds").select("k", F.unix_micros("start").alias("a"), F.unix_micros("end").alias("b"), "n")
+    assert _rows(got, "k", "a", "b", "n") == [(1, 0, 119_000_000, 2), (1, 119_000_000, 179_000_000, 1), (2, 7_000_000, 67_000_000, 1)]
+
+
 def test_search(spark):
     rows = [(1, "2024-01-01", "Été", "the north-west wind and rain"), (2, "2024-01-02", "x", "west north rain rain"), (3, "2024-01-03", "y", "sun"), (3, "2024-01-02", "old", "rain"), (4, "2024-01-04", "z", "wind sun sun"), (5, "2024-01-04", "u", "fog")]
     postings = search.index(spark.createDataFrame(rows, "article_id long, published string, title string, text string"))
