@@ -224,6 +224,19 @@ def test_stream_resumes_and_repeats_nothing(spark, tmp_path):
     assert ingest.cap(3, 50) == 200 and ingest.cap(30, 50) == 50
 
 
+def test_stream_keeps_the_longest_text_of_a_url(spark, tmp_path):
+    source, target, ticks = tmp_path / "in", VersionedTable(spark, fresh_path(spark, "s")), []
+    source.mkdir()
+    start = lambda: ingest.ingest(spark, str(source), "url string, text string", target, str(tmp_path / "cp"), on_new=lambda b, n: ticks.append(b.count())).awaitTermination()
+    page = lambda i, n: json.dumps({"url": f"http://a/{i}", "text": "x" * n})
+    (source / "1.json").write_text("\n".join(page(i, n) for n in (50, 90, 70) for i in range(20)))
+    start()
+    (source / "2.json").write_text("\n".join([page(0, 60), page(1, 120), page(2, 90), page(20, 40)]))
+    start()
+    assert _rows(target.read().select("url", F.length("text").alias("n")), "url", "n") == sorted([(f"http://a/{i}", {1: 120, 20: 40}.get(i, 90)) for i in range(21)], key=str)
+    assert ticks == [20, 2]
+
+
 def test_windows_of_a_stream_equal_those_of_a_table(spark, tmp_path):
     rows = spark.createDataFrame([(i % 3, 1704067200 + i * 1700) for i in range(200)], "k long, s long").select("k", F.timestamp_seconds("s").alias("ts"))
     rows.coalesce(1).write.parquet(str(tmp_path / "e"))
