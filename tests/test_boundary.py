@@ -20,3 +20,43 @@ def test_uneven_windows_equal_all_pairs(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want and want
     assert len(boundary.near_in_time(table, 1).collect()) > len(got)
     assert boundary.near_in_time(table.limit(0), 1).collect() == []
+
+
+def _uneven(spark):
+    rng = np.random.default_rng(7)
+    secs = [int(s) for s in rng.integers(7200, 10800, 60)] + [int(s) for s in rng.integers(10800, 14400, 25)] + [3600, 7199, 14400, 90_000, 90_000]
+    x = rng.normal(size=(len(secs), 5)).astype(np.float32)
+    rows = [(i, None if i == 8 else i * 7 % 3, [float(v) for v in x[i]], s) for i, s in enumerate(secs)]
+    return spark.createDataFrame(rows, "id long, label int, x array<float>, sec long")
+
+
+def test_counts_and_links_are_those_of_the_pairs(spark, monkeypatch):
+    for name, size in (("BLOCK", 16), ("WIDE", 16), ("STRIP", 5)):
+        monkeypatch.setattr(boundary, name, size)
+    table = _uneven(spark)
+    pairs = [tuple(r) for r in boundary.near_in_time(table, 1).collect()]
+    tally = lambda items: {k: items.count(k) for k in set(items)}
+    assert {(r.label_a, r.label_b): r.n for r in boundary.near_labels(table, 1).collect()} == tally([(la, lb) for _, _, la, lb, _ in pairs])
+    verdict = lambda la, lb: None if la is None or lb is None else la == lb
+    reached = lambda cos: sum(cos >= t for t in (-0.2, 0.1, 0.3))
+    assert {(r.verdict, r.bin): r.n for r in boundary.near_bins(table, 1, [-0.2, 0.1, 0.3]).collect()} == tally([(verdict(la, lb), reached(c)) for _, _, la, lb, c in pairs])
+    for row in boundary.near_stats(table, 1).collect():
+        own = [c for _, _, la, lb, c in pairs if verdict(la, lb) == row.verdict]
+        assert row.n == len(own) and (row.low, row.high) == (min(own), max(own))
+        assert np.allclose([row["mean"], row["median"], row["stdev"]], [np.mean(own), np.median(own), np.std(own, ddof=1)], atol=6e-6)
+    assert boundary.near_stats(table.limit(0), 1).collect() == []
+    # A dense block gives a link for each vector at most, where the pairs are many more.
+    for same in (False, True):
+        links = boundary.near_links(table, 1, -0.5, same).collect()
+        want = [(a, b) for a, b, la, lb, c in pairs if c >= -0.5 and (not same or verdict(la, lb))]
+        assert {(a, b) for a, b in links} and len(links) < len(want)
+        groups = lambda edges: {min(g): g for g in _components(edges)}
+        assert groups([(r.a, r.b) for r in links]) == groups(want)
+
+
+def _components(edges):
+    of = {}
+    for a, b in edges:
+        one = of.get(a, {a}) | of.get(b, {b})
+        of |= dict.fromkeys(one, one)
+    return list({id(g): g for g in of.values()}.values())
