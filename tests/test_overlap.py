@@ -64,3 +64,14 @@ def test_a_role_in_many_unequal_sets_makes_no_square(spark):
 def test_nulls_and_clashing_columns(spark):
     rows = spark.createDataFrame([(1, "a", 7, 1), (1, "b", 7, 1), (2, "a", 8, 0), (2, "b", 8, 0), (None, "a", 1, 1), (None, "b", 1, 1), (3, None, 1, 1)], "article_id long, key string, df long, a long")
     assert [tuple(r) for r in overlap.links(rows).collect()] == [(1, 2)]
+
+
+def test_families_of_near_copies_leave_nothing_to_pair(spark):
+    families, copies, n = 12, 30, 20
+    sets = {f * copies + c: {f"f{f}-{i}" for i in range(n) if i != c % n} | {f"edition{c}"} for f in range(families) for c in range(copies)}
+    rows = overlap.counted(table(spark, sets), "article_id", "key")
+    assert min(overlap.costs(rows).values()) > 10 * rows.count()  # all of it at once
+    left = overlap.undecided(rows, overlap.by_neighbours(rows), 10_000)
+    assert left.isEmpty()  # each family is one component, and an edition alone links none
+    got = [(r.a, r.b) for r in overlap.links(table(spark, sets)).collect()]
+    assert parts(got) == parts(all_pairs(sets)) and len(got) < families * copies * n
