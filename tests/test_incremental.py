@@ -82,3 +82,19 @@ def test_a_stream_of_files(spark):
         incremental.follow(spark.readStream.schema(SCHEMA).json(source), path, checkpoint).awaitTermination()
     assert {r.article_id: r.cluster_id for r in incremental.Narratives(spark, path).labels().collect()} == rebuilt(spark, sum(drops, [])) == {1: 1, 2: 1, 3: 1}
     assert incremental.Narratives(spark, fresh_path(spark, "none")).members().count() == 0
+
+
+def test_families_of_edited_copies_make_no_pairs(spark, monkeypatch):
+    # Of one text many copies, each without another sentence: every two of them share roles, but few links are enough.
+    family = [article(i, [r for r in range(12) if r != i % 12] + [f"own{i}"]) for i in range(1, 61)]
+    others = [article(100 + i, [f"lone{i}", f"more{i}"]) for i in range(300)]
+    made, links = [], incremental.Narratives._links
+
+    def counted(self, rows, asked):
+        out = links(self, rows, asked)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(incremental.Narratives, "_links", counted)
+    by_batches(spark, [family[::2] + others[::2], family[1::2] + others[1::2]])
+    assert sum(made) < 10 * len(family) < 60 * 59 // 2
