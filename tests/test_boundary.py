@@ -1,6 +1,7 @@
 """Pairs near in time against all pairs, with windows of very different sizes."""
 
 import numpy as np
+import pyarrow as pa
 
 from newsloom.operators import boundary
 
@@ -60,3 +61,24 @@ def _components(edges):
         one = of.get(a, {a}) | of.get(b, {b})
         of |= dict.fromkeys(one, one)
     return list({id(g): g for g in of.values()}.values())
+
+
+def test_pairs_leave_a_block_strip_by_strip(monkeypatch):
+    kept = {}
+    monkeypatch.setattr(boundary, "_met", lambda rows, hours, least, block, of, schema: kept.update(of=of))
+    boundary.near_in_time(None, 48)
+    n = 40
+    own = pa.table({"id": np.arange(n), "sec": np.zeros(n, int), "own": np.zeros(n, int), "label": pa.array([1] * n, pa.int32()), "x": [[1.0, float(i)] for i in range(n)]})
+    side, asked = boundary._Side(own), []
+    monkeypatch.setattr(boundary, "STRIP", 8)
+
+    def strips():
+        for strip in boundary._strips(side, side, 60, None):
+            asked.append(len(strip[0]))
+            yield strip
+
+    sizes = []
+    for out in kept["of"](side, side, strips()):
+        assert len(sizes) + 1 == len(asked)  # handed on before the next strip is made
+        sizes.append(out.num_rows)
+    assert sum(sizes) == n * (n - 1) // 2 and len(sizes) == n // 8 and max(sizes) <= 8 * n
