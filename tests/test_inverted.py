@@ -142,3 +142,28 @@ def test_folding_equals_sqlite(spark):
     wrong = {chr(i) for i in got if got[i] != want.get(i)}
     assert len(wrong) < 40, sorted(wrong)
     assert not wrong & set("āčďéěğīķļłñňóőřšşťūůűýźžĀČŠŽ")
+
+
+def test_an_upsert_moves_texts_once_and_no_word(spark, monkeypatch):
+    """Postings are made where the text is: texts in words are not written, and a plan of them has the one shuffle of texts."""
+    plans = []
+    write = Index._write
+
+    def seen(self, segment, postings, *more):
+        plans.append(postings._jdf.queryExecution().executedPlan().toString())
+        write(self, segment, postings, *more)
+
+    def no(*_, **__):
+        raise AssertionError("texts are written once more")
+
+    monkeypatch.setattr(Index, "_write", seen)
+    monkeypatch.setattr("newsloom.storage.materialize", no)
+    rows = [(1, "a b a", "b c b b", None, "2024-01-01"), (2, None, "", None, "2024-01-02"), (3, "c", None, "a", None)]
+    index = built(spark, rows)
+    assert plans[0].count("Exchange") == 1, plans[0]
+    got = {(r.term, r.article_id, r.col): (list(r.at), r.length, r.published) for r in index.postings().collect()}
+    assert got == {("a", 1, 0): ([0, 2], 7, "2024-01-01"), ("b", 1, 0): ([1], 7, "2024-01-01"), ("b", 1, 1): ([0, 2, 3], 7, "2024-01-01"), ("c", 1, 1): ([1], 7, "2024-01-01"),
+                   ("c", 3, 0): ([0], 2, None), ("a", 3, 2): ([0], 2, None)}
+    assert sorted(map(tuple, index.documents().collect())) == [(1, "2024-01-01", 7), (2, "2024-01-02", 0), (3, None, 2)]
+    heads = {r.term: r.n for r in index._table("heads").groupBy("term").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    assert heads == {"a": 2, "b": 1, "c": 2}
