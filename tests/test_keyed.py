@@ -5,6 +5,7 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom import storage
 from newsloom.keyed import KeyedTable, role_dimension, role_references
 from newsloom.storage import fresh_path
 
@@ -57,3 +58,13 @@ def test_role_counts_after_two_batches_equal_one(spark):
         store.upsert(all_of.where(part), "article_id")
     assert rows(role_dimension(store.read())) == rows(role_dimension(all_of))
     assert role_dimension(all_of).agg(F.sum("reference_count")).first()[0] == all_of.count()
+
+
+def test_an_upsert_writes_its_buckets_once(spark, monkeypatch):
+    tags, write = [], storage.materialize
+    monkeypatch.setattr(storage, "materialize", lambda df, tag, free=True: tags.append(tag) or write(df, tag, free))
+    store = KeyedTable(spark, fresh_path(spark, "once"), ("id",), 4)
+    for first in (0, 20, 10):
+        store.upsert(spark.createDataFrame([(i, f"from {first}", first) for i in range(first, first + 30)], SCHEMA), "at")
+    assert rows(store.read()) == sorted([(i, f"from {10 if 10 <= i < 40 else 20 if i >= 40 else 0}", 10 if 10 <= i < 40 else 20 if i >= 40 else 0) for i in range(50)], key=str)
+    assert "buckets" not in tags
